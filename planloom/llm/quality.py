@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(_sample(labels, label_id, good))
     marked = docs.select(id_col, text_col).join(sample, F.col(id_col) == F.col("_labelled"), "left")
     words = _grams(with_words(marked, id_col, text_col, "_good"))
-    counts = words.select("_good", F.explode("_grams").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count(F.when(F.col("_good"), 1)).alias("target")).collect()  # BUCKETS rows
+    # explode_outer: from explode, Spark infers a filter that would make all n-grams a second time
+    counts = words.select("_good", F.explode_outer("_grams").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count(F.when(F.col("_good"), 1)).alias("target")).where("g IS NOT NULL").collect()  # BUCKETS rows
     raw_all, target_all = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
     if not target_all:
         return Model()
@@ -108,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for g in range(BUCKETS)
     )
     labelled = docs.select(id_col, text_col).join(sample, F.col(id_col) == F.col("_labelled"))
-    scored = base_columns(_grams(with_words(labelled, id_col, text_col, "_good"))).where("NOT base_failed").select("_good", Model(weights).score().alias("score")).collect()  # the sample's rows
+    # No filter here: it would be pushed into the scan, and each column it names made many times over.
+    scored = base_columns(_grams(with_words(labelled, id_col, text_col, "_good"))).select("_good", "base_failed", Model(weights).score().alias("score")).collect()  # the sample's rows
+    scored = [r for r in scored if not r["base_failed"]]
     good_scores = sorted(r["score"] for r in scored if r["_good"])
     if not good_scores:
         return Model(weights, float("-inf"))
@@ -138,5 +141,7 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text_col).alias("_t"))
     frame = base_columns(_grams(with_words(whole, "_row", "_t")))
     score = model.score() if model.weights else F.lit(None).cast("double")
-    kept = frame.where(~F.col("base_failed") & F.coalesce(score >= F.lit(model.threshold), F.lit(True)))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
+    kept = ~F.col("base_failed") & F.coalesce(score >= F.lit(model.threshold), F.lit(True))
+    # A filter on `kept` would be pushed down with all its expressions made again; one on a generated row is not.
+    rows = frame.select(F.explode_outer(F.when(kept, F.array("_row"))).alias("_row")).where("_row IS NOT NULL")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in columns])
