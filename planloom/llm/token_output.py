@@ -9,12 +9,14 @@ or the metadata columns alone, without the rest.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,32 +35,83 @@ FORMAT = {
 }
 
 
+class _Recent:
+    """A map that keeps what was used of late: at most two generations of ``size`` entries."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not held; the others are in ``new`` from now on."""
+        if len(self.new) + len(keys) > self.size:
+            self.old, self.new = self.new, {}
+        rest = keys - self.new.keys()
+        held = rest & self.old.keys()
+        self.new.update(zip(held, map(self.old.__getitem__, held)))
+        return rest - held
+
+
 class Encoder:
-    """Encodes UTF-8 texts, looking up the ids of words that it has met before.
+    """Encodes UTF-8 texts, looking up the ids of words that it has met of late.
 
-    Valid for tokenizers that drop white space and never merge across it; then a text's ids are the
-    ids of its white-space separated pieces in turn. Tests compare it with whole-text encoding.
+    Valid for tokenizers that drop white space and never merge across it, or across ``PIECE``s, and
+    that end each piece's last token with ``WORD_END``; then a text's ids are the ids of its pieces in turn.
+    Words with characters beyond Latin-1, where case and composition take care, and words that may hold a
+    special token, go to the tokenizer as they are. Tests compare all this with whole-text encoding.
     """
 
-    def __init__(self, tokenizer_path: str, cached: int = 300_000):
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    WORD_END = "</w>"
+
+    def __init__(self, tokenizer_path: str, cached: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_file(tokenizer_path), cached, {}
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(tokenizer_path), _Recent(cached), _Recent(cached)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.WORD_END)]] = True
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from one call for all of them; piece by piece if they don't part cleanly."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<i4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces) or len(ids) and stops[-1] != len(ids):
+            return [np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, "<i4").tobytes() for p in pieces]
+        data, stops = ids.tobytes(), (4 * stops).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, parts, whole = self.words.new, {}, []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and (word.isascii() or max(word) < 0xC4):
+                parts[word] = (text.lower(),)
+            elif (word.isascii() or max(word) < 0xC4) and b"<|" not in word:
+                parts[word] = self.PIECE.findall(text.lower())
+            else:
+                whole.append((word, text))
+        unknown = list(self.pieces.missing(set().union(*parts.values())))
+        pieces = self.pieces.new
+        for start in range(0, len(unknown), 2000):
+            some = unknown[start : start + 2000]
+            pieces.update(zip(some, self._encode(some)))
+        known.update((word, b"".join(map(pieces.__getitem__, p))) for word, p in parts.items())
+        encoded = self.tokenizer.encode_batch([text for _, text in whole], add_special_tokens=False)
+        known.update((word, np.asarray(e.ids, "<i4").tobytes()) for (word, _), e in zip(whole, encoded))
 
     def __call__(self, texts: Iterable[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        pieces = [t.split() for t in texts]
-        new = list(set().union(*pieces) - self.known.keys()) if pieces else []
-        if len(self.known) + len(new) > self.cached:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        encoded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.asarray(e.ids, "<i4").tobytes() for e in encoded)))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        split = [t.split() for t in texts]
+        new = self.words.missing(set().union(*split))
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(self.words.new.__getitem__, p)) for p in split]
 
 
-_encoders: dict[str, Encoder] = {}  # one for each Python worker, kept from task to task
+@functools.lru_cache(1)
+def _encoder(tokenizer_path: str) -> Encoder:
+    """One for each Python worker, kept from task to task (a function of the module, so not sent along)."""
+    return Encoder(tokenizer_path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,9 +119,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
     end = np.asarray([end_id], "<i4").tobytes()
 
     def run(batches):
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = Encoder(tokenizer_path)
-        encode = _encoders[tokenizer_path]
+        encode = _encoder(tokenizer_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
