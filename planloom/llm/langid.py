@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from planloom.llm.common import map_batches, texts_in
 
 #: Bits of the slot table for n-grams of 1, 2, 3 and 4 bytes.
-BITS = (8, 13, 15, 16)
+BITS = (8, 12, 14, 15)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
 SLOTS = int(STARTS[-1])
 #: The classifier is fitted on at most so many labelled texts of each language, of which so many are landmarks.
-FIT_PER_CLASS, LANDMARKS_PER_CLASS, MAX_CLASSES, RIDGE = 300, 48, 200, 1e-2
+FIT_PER_CLASS, LANDMARKS_PER_CLASS, MAX_LANDMARKS, MAX_CLASSES, RIDGE = 300, 40, 400, 200, 1e-2
 HELD_OUT = 2
 
 #: Bytes to codes: ASCII letters are lowered, bytes of other letters stay, the rest is one space.
@@ -72,10 +72,11 @@ class Model:
         if not texts:
             self.weights = np.zeros((SLOTS, 0), np.float32)
             return
-        rows = presences(texts)
+        per_class = max(1, min(per_class, MAX_LANDMARKS // len(self.classes)))
         chosen = np.concatenate([np.flatnonzero(labels == c)[:per_class] for c in range(len(self.classes))])
-        landmarks = rows[chosen]
-        near = (rows @ landmarks.T).astype(np.float64)
+        landmarks = presences([texts[i] for i in chosen])
+        parts = [presences(texts[i : i + 64]) @ landmarks.T for i in range(0, len(texts), 64)]  # a few texts at a time
+        near = np.concatenate(parts).astype(np.float64)
         target = np.where(labels[:, None] == np.arange(len(self.classes)), 1.0, -1.0)
         size = np.bincount(labels, minlength=len(self.classes))[labels]
         balance = np.sqrt(len(texts) / (len(self.classes) * size))[:, None]  # classes count alike
