@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -31,81 +32,80 @@ FORMAT = {
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
-class _Recent:
-    """A map that keeps what was used of late: at most two generations of ``size`` entries."""
+#: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as letters from U+0100 on.
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """The keys that are not held; the others are in ``new`` from now on."""
-        if len(self.new) + len(keys) > self.size:
-            self.old, self.new = self.new, {}
-        rest = keys - self.new.keys()
-        held = rest & self.old.keys()
-        self.new.update(zip(held, map(self.old.__getitem__, held)))
-        return rest - held
+class _Recent(dict):
+    """A map that makes what it lacks and keeps what was used of late: at most two generations of ``size`` entries."""
+
+    def __init__(self, size: int, make):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        """Between texts: a full generation becomes the old one."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
     """Encodes UTF-8 texts, looking up the ids of words that it has met of late.
 
-    Valid for tokenizers that drop white space and never merge across it, or across ``PIECE``s, and
-    that end each piece's last token with ``WORD_END``; then a text's ids are the ids of its pieces in turn.
-    Words with characters beyond Latin-1, where case and composition take care, and words that may hold a
-    special token, go to the tokenizer as they are. Tests compare all this with whole-text encoding.
+    Valid for tokenizers that drop white space and never merge across it, or across ``PIECE``s; then a
+    text's ids are the ids of its pieces in turn. Words with characters beyond Latin-1, where case and
+    composition take care, with control characters, and words that may hold a special token, go to the
+    tokenizer as they are.
+    Tests compare all this with whole-text encoding.
     """
 
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    WORD_END = "</w>"
 
-    def __init__(self, tokenizer_path: str, cached: int = 350_000):
+    def __init__(self, tokenizer_path: str, words: int = 350_000, pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(tokenizer_path), _Recent(cached), _Recent(cached)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.WORD_END)]] = True
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, from one call for all of them; piece by piece if they don't part cleanly."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<i4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(pieces) or len(ids) and stops[-1] != len(ids):
-            return [np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, "<i4").tobytes() for p in pieces]
-        data, stops = ids.tobytes(), (4 * stops).tolist()
-        return [data[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        known, parts, whole = self.words.new, {}, []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if text.isalpha() and (word.isascii() or max(word) < 0xC4):
-                parts[word] = (text.lower(),)
-            elif (word.isascii() or max(word) < 0xC4) and b"<|" not in word:
-                parts[word] = self.PIECE.findall(text.lower())
-            else:
-                whole.append((word, text))
-        unknown = list(self.pieces.missing(set().union(*parts.values())))
-        pieces = self.pieces.new
-        for start in range(0, len(unknown), 2000):
-            some = unknown[start : start + 2000]
-            pieces.update(zip(some, self._encode(some)))
-        known.update((word, b"".join(map(pieces.__getitem__, p))) for word, p in parts.items())
-        encoded = self.tokenizer.encode_batch([text for _, text in whole], add_special_tokens=False)
-        known.update((word, np.asarray(e.ids, "<i4").tobytes()) for (word, _), e in zip(whole, encoded))
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        plain = all(self._piece(x) == self._ids(x) for x in ("a", "the", "wörter", "!!", "7", "naïveté", "...?"))
+        self.words, self.pieces = _Recent(words, self._word), _Recent(pieces, self._piece if plain else self._ids)
+
+    def _ids(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        """The ids of one lowered piece from the tokenizer's merge model alone, for byte-level tokenizers."""
+        text = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("i", [token.id for token in self.model.tokenize(text)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if not text.isprintable() or not word.isascii() and max(word) >= 0xC4 or b"<|" in word:
+            return self._ids(text)
+        if text.isalpha():
+            return self.pieces[text.lower()]
+        return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(text.lower())))
 
     def __call__(self, texts: Iterable[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]
-        new = self.words.missing(set().union(*split))
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(self.words.new.__getitem__, p)) for p in split]
+        """The ids of each text as 32-bit integers in the machine's order."""
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.words.__getitem__, text.split())))
+            self.words.age()
+            self.pieces.age()
+        return out
 
 
 @functools.lru_cache(1)
