@@ -42,9 +42,10 @@ ROLES = frozenset(
     "gdpr hidden login masthead menu menubar metadata modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related reply replies respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets alert complementary feedback discussion sidenav responses rail".split()
 )
+#: Class names that begin so say what a container has, not what it is (`with-sidebar`).
+ABOUT = frozenset("has with no not is without show hide enable disable".split())
 TAG = re.compile(r"""<(?:!--(?P<comment>)|[!?][^>]*>|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:_-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-HEADING = re.compile("h[1-6]$")
 
 
 @dataclass
@@ -65,13 +66,16 @@ def _marked(rest: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif not ROLES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        elif any(not ROLES.isdisjoint(parts) and parts[0] not in ABOUT for x in value.split() if (parts := re.split(r"[^a-z0-9]+", x))):
             return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, with white space collapsed and character references decoded."""
+def blocks(page: str, hints: bool = True) -> list[Block]:
+    """The blocks of a page in order, with white space collapsed and character references decoded.
+
+    ``hints``: whether class, id and role of an element may mark it as furniture.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, article
     hidden, furniture, article, articles = False, False, 0, 0
@@ -146,7 +150,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "a":
             link_depth = 1
-        if name in INLINE and not (rest and _marked(rest)):
+        if name in INLINE and not (hints and rest and _marked(rest)):
             continue
         if name == "body":
             continue
@@ -160,7 +164,7 @@ def blocks(page: str) -> list[Block]:
         if name in ARTICLE and not article:
             articles += 1
             article = articles
-        marked = name in FURNITURE or name == "header" and not article or name not in ARTICLE and name != "html" and bool(rest) and _marked(rest)
+        marked = name in FURNITURE or name == "header" and not article or name not in ARTICLE and name != "html" and hints and bool(rest) and _marked(rest)
         hidden, furniture = hidden or name in HIDDEN, furniture or marked
         stack.append((name, hidden, furniture, article))
     end_block()
@@ -183,25 +187,31 @@ def classify(found: list[Block]) -> list[Block]:
                 b.good = True
             elif density < SPARSE:
                 b.good = False
-    for b, label in [(b, _inherited(found, i)) for i, b in enumerate(found) if b.good is None]:
-        b.good = label
+    _inherit(found)
     return found
 
 
-def _inherited(found: list[Block], i: int) -> bool:
-    """The label of the nearest decided block; a tie goes to the main text."""
-    mine = found[i].article
-    for step in range(1, len(found)):
-        near = [found[j].good for j in (i - step, i + step) if 0 <= j < len(found) and found[j].article == mine and not found[j].furniture]
-        if near and any(x is not None for x in near):
-            return any(near)
-        if i - step < 0 and i + step >= len(found):
-            break
-    return bool(mine)
+def _inherit(found: list[Block]) -> None:
+    """Undecided blocks get the label of the nearest decided one of their article; a tie goes to the main text."""
+    near: list[list[tuple[int, bool]]] = [[] for _ in found]
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[int, tuple[int, bool]] = {}  # by article: where the last decided block was, and its label
+        for i in order:
+            b = found[i]
+            if b.good is None and b.article in last:
+                at, label = last[b.article]
+                near[i].append((abs(i - at), not label))
+            elif b.good is not None and not b.furniture:
+                last[b.article] = (i, b.good)
+    for b, labels in zip(found, near):
+        if b.good is None:
+            b.good = not min(labels)[1] if labels else bool(b.article)
 
 
 def main_text(page: str) -> str:
-    return "\n".join(b.text for b in classify(blocks(page)) if b.good)
+    """The main text; if class names have marked all of a page as furniture, they are not believed."""
+    good = [b.text for b in classify(blocks(page)) if b.good]
+    return "\n".join(good or [b.text for b in classify(blocks(page, hints=False)) if b.good])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
