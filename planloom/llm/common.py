@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
-from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +69,33 @@ def split_words(text: Column, separators: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), lambda w: w != "")
 
 
+def space_words(text: Column) -> Column:
+    """Array of the runs of characters other than ASCII white space; ``text`` must not be null."""
+    trimmed = F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="planloom-code-")) / "planloom.zip"
+    with zipfile.ZipFile(out, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(out))
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough that very long texts fit in a Python worker."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= 1000:
-        conf.set(key, "1000")
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.mapInArrow(function, schema)
 
 
@@ -83,5 +106,11 @@ def texts_in(column, step: int = 64) -> Iterator[bytes]:
             yield value or b""
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row each: a filter above stays above.
+
+    Spark pushes filters below projections and puts the columns' expressions in their place; where columns
+    build on each other, each would be made a great many times.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.explode_outer(F.array(row)).alias("_r")).select(*[F.col("_r")[c].alias(c) for c in df.columns])
