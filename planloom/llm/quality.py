@@ -1,8 +1,8 @@
 """Quality rules: base rules and a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
 Two multinomials over hashed n-grams are counted: the raw corpus (all documents) and the trusted target
-(documents labelled good). N-grams are single lowered words and pairs of neighbouring word shapes (runs
-of capitals, small letters and digits as one sign each), so that words never met before still say how
+(documents labelled good). N-grams are single words and pairs of neighbouring word shapes (runs of
+capitals, small letters and digits as one sign each), so that words never met before still say how
 they are written. A document's score is the mean over its n-grams of log p_target - log p_raw. Every
 document is compared with one threshold, fixed from the labelled sample.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import SPACE, split_words
+from planloom.llm.common import SPACE, settled, space_words
 
 BUCKETS = 1 << 14
 #: At most so many labelled documents of each kind are used: those with the smallest hash of their id.
@@ -25,20 +25,23 @@ SYMBOLS = "[#*$%&|<>]"
 
 
 def _shape(text: Column) -> Column:
-    for runs, sign in ((r"\p{Lu}+", "A"), (r"[\p{L}&&[^\p{Lu}]]+", "a"), (r"\p{Nd}+", "0")):
+    """Runs of small letters (and of letters beyond ASCII), capitals and digits as one sign each."""
+    for runs, sign in (("[a-z\\x{80}-\\x{10FFFF}]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0")):
         text = F.regexp_replace(text, runs, sign)
     return text
 
 
 def with_words(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """``id_col``, ``more``, _text, _shape and _words: 64-bit hashes of the text's words in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col), *more, text.alias("_text"), split_words(text, SPACE).alias("_words"))
+    frame = docs.select(F.col(id_col), *more, text.alias("_text"), _shape(text).alias("_shape"))
+    return frame.withColumn("_words", F.transform(space_words(F.col("_text")), lambda w: F.xxhash64(w)))
 
 
 def _grams(frame: DataFrame) -> DataFrame:
     """Adds _grams: the buckets of a document's words and of its pairs of neighbouring shapes."""
-    frame = frame.withColumn("_shapes", split_words(_shape(F.col("_text")), SPACE))
-    words = f"transform(_words, w -> CAST(pmod(xxhash64(lower(w)), {BUCKETS}) AS INT))"
+    frame = frame.withColumn("_shapes", space_words(F.col("_shape")))
+    words = f"transform(_words, w -> CAST(pmod(w, {BUCKETS}) AS INT))"
     pairs = f"if(size(_shapes) > 1, transform(sequence(0, size(_shapes) - 2), i -> CAST(pmod(xxhash64(_shapes[i], _shapes[i + 1], 1), {BUCKETS}) AS INT)), CAST(array() AS ARRAY<INT>))"
     return frame.withColumn("_grams", F.expr(f"concat({words}, {pairs})"))
 
@@ -46,8 +49,9 @@ def _grams(frame: DataFrame) -> DataFrame:
 def base_columns(frame: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to a ``with_words`` frame."""
     frame = frame.withColumn("n_words", F.size("_words").cast("long"))
-    frame = frame.withColumn("word_chars", (F.char_length("_text") - F.regexp_count("_text", F.lit(f"[{SPACE}]"))).cast("long"))
-    frame = frame.withColumn("n_symbols", F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"))
+    # White space and symbols are the same in the shape, which is a good deal shorter.
+    frame = frame.withColumn("word_chars", (F.char_length("_text") - F.regexp_count("_shape", F.lit(f"[{SPACE}]"))).cast("long"))
+    frame = frame.withColumn("n_symbols", F.regexp_count("_shape", F.lit(SYMBOLS)).cast("long"))
     frame = frame.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     frame = frame.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     frame = frame.withColumn("_h", F.expr("if(size(_words) >= 3, transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])), CAST(array() AS ARRAY<BIGINT>))"))
@@ -132,7 +136,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     score = model.score() if model.weights else F.lit(None).cast("double")
     passed = F.coalesce(F.col("score") >= F.lit(model.threshold), F.lit(True))
     columns = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return frame.select(*columns, score.alias("score")).withColumn("kept", ~F.col("base_failed") & passed)
+    return settled(frame.select(*columns, score.alias("score")).withColumn("kept", ~F.col("base_failed") & passed))
 
 
 def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,6 +146,5 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     frame = base_columns(_grams(with_words(whole, "_row", "_t")))
     score = model.score() if model.weights else F.lit(None).cast("double")
     kept = ~F.col("base_failed") & F.coalesce(score >= F.lit(model.threshold), F.lit(True))
-    # A filter on `kept` would be pushed down with all its expressions made again; one on a generated row is not.
-    rows = frame.select(F.explode_outer(F.when(kept, F.array("_row"))).alias("_row")).where("_row IS NOT NULL")
+    rows = settled(frame.select("_row", kept.alias("_kept"))).where("_kept")
     return rows.select(*[F.col("_row")[c].alias(c) for c in columns])
