@@ -61,6 +61,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """
     lines = materialize(line_hashes(docs, min_chars, id_col, text_col).where("id IS NOT NULL"), "lines")
     shared = lines.groupBy("a", "b").agg(F.countDistinct("id").alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= min_docs)
+    # Written, so that the join has a plain exchange on either side, whose skewed partitions Spark splits.
+    shared = materialize(shared.select("a", "b", "last"), "shared")
     losses = lines.join(shared, ["a", "b"]).where("id < last").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
     losses = losses.select(F.col("id").alias("_id"), F.transform("lost", lambda x: x["a"]).alias("lost_a"), F.transform("lost", lambda x: x["b"]).alias("lost_b"))
     ready = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text")).join(losses.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left").drop("_id")
@@ -83,7 +85,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                 totals.append(len(parts))
                 dropped.append(len(parts) - len(kept))
                 sums.append(hashlib.sha256(texts[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums, pa.string())], names=[id_col, "text", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).view(pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums, pa.string())], names=[id_col, "text", "n_lines", "n_dropped", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(ready, run, f"`{id_col}` {kind}, text string, n_lines bigint, n_dropped bigint, kept_sha256 string")
