@@ -4,12 +4,14 @@ Rows lie in old shards; new shards get equal capacities in bytes. A flow from ol
 which staying costs nothing and a moved byte costs one, gives the block transfers that move the fewest
 bytes. The flow runs over shards, so it is a small problem on the driver whatever the number of rows.
 It is realised by running sums over hashed blocks: a block goes whole to the shard whose stretch of its
-old shard's bytes it falls in, and only blocks that a boundary cuts are ordered row by row.
+old shard's bytes it falls in, and only blocks that a boundary cuts are ordered row by row. Large rows are
+placed first, and smaller ones make good what the larger ones miss.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 from planloom.llm.common import materialize
 
 SHARDS, OLD_SHARDS, BLOCK_ROWS = 16, 12, 50_000
+#: Rows are placed in tiers by size: from the first number up, then from the next, and so on.
+TIERS = (16_384, 2_048, 256)
 
 
 def equal_capacities(total: int, shards: int) -> list[int]:
@@ -73,61 +77,87 @@ def min_cost_flow(supply: list[int], demand: list[int], cost=lambda i, j: int(i
     return {(i, e[0] - m): supply[i] - e[1] for i in range(m) for e in graph[i] if e[0] != source and supply[i] > e[1]}
 
 
-def _stretches(flow: dict[tuple[int, int], int], old: list[int]) -> list[tuple[int, int, int, int]]:
-    """(old, new, from, to): each old shard's bytes in turn, what stays first."""
+def _stretches(need: dict[tuple[int, int], int], supply: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(old, new, from, to): each old shard's bytes of a tier in turn, what stays first, as the flow ``need`` parts them."""
     out = []
-    for i, name in enumerate(old):
-        at = 0
-        for (_, j), amount in sorted(((k, x) for k, x in flow.items() if k[0] == i), key=lambda x: (x[0][1] != i, x[0][1])):
-            out.append((name, j, at, at + amount))
-            at += amount
+    for i, size in supply.items():
+        parts = sorted(((j, x) for (a, j), x in need.items() if a == i), key=lambda p: (p[0] != i, p[0]))
+        whole, at, done = sum(x for _, x in parts), 0, 0.0
+        for j, x in parts:
+            done += x
+            to = round(size * done / whole) if j != parts[-1][0] else 1 << 62
+            if to > at:
+                out.append((i, j, at, to))
+            at = to
     return out
 
 
+def _place(rows: DataFrame, blocks: DataFrame, stretches: list[tuple[int, int, int, int]]) -> DataFrame:
+    """``rows`` of one tier with their new shard: blocks within a stretch whole, the others row by row."""
+    table = F.broadcast(rows.sparkSession.createDataFrame(stretches, "s_old int, shard int, s_from long, s_to long"))  # at most old shards times new shards rows
+    running = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("before", F.coalesce(F.sum("bytes").over(running), F.lit(0)))
+    inside = (F.col("old_shard") == F.col("s_old")) & (F.col("before") < F.col("s_to")) & (F.col("before") + F.col("bytes") > F.col("s_from"))
+    touched = placed.join(table, inside).groupBy("old_shard", "block", "before").agg(F.min("shard").alias("one"), F.count("*").alias("parts"))
+    touched = touched.select(F.col("old_shard").alias("t_old"), F.col("block").alias("t_block"), "before", F.when(F.col("parts") == 1, F.col("one")).alias("one"))
+    joined = rows.join(touched, (F.col("old_shard") == F.col("t_old")) & (F.col("block") == F.col("t_block"))).drop("t_old", "t_block")
+    whole = joined.where("one IS NOT NULL").select(*rows.columns, F.col("one").alias("shard"))
+    in_block = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, -1)
+    cut = joined.where("one IS NULL").withColumn("middle", F.col("before") + F.coalesce(F.sum("size").over(in_block), F.lit(0)) + F.col("size") / 2)
+    cut = cut.join(table, (F.col("old_shard") == F.col("s_old")) & (F.col("middle") >= F.col("s_from")) & (F.col("middle") < F.col("s_to"))).select(*rows.columns, "shard")
+    return whole.unionByName(cut)
+
+
 def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(``id_col``, size, text_crc32, old_shard, shard, slot) for every row of ``docs``.
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 1; old shard k and new shard k are the same
     place. ``old_shard`` names the column with the old shard numbers (0 up); without it rows lie in
-    OLD_SHARDS shards by a hash of their id. New shards get equal bytes, or ``capacities``. Slots number each
-    shard's rows gaplessly from 0. Within a cut block small rows come last, so that a boundary misses its
-    byte by little. Rows with equal ids may part; null ids are one more value to hash. Other columns are
-    ignored; an empty table gives no rows.
+    OLD_SHARDS shards by a hash of their id. New shards get equal bytes, or ``capacities``. The flow is
+    realised from the tier of the largest rows down, each tier making good what the ones before missed, so a
+    shard misses its size by a few of the smallest rows. Slots number each shard's
+    rows gaplessly from 0. Rows with equal ids may part; null ids are one more value to hash. Other columns
+    are ignored; an empty table gives no rows.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     old = F.col(old_shard).cast("int") if old_shard else F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(OLD_SHARDS)).cast("int")
-    # `key` tells rows apart that agree in id and text only by their place in the scan, written once here.
+    # `key` tells rows apart that agree in id and text by their place in the scan, written once here.
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.alias("old_shard"), F.monotonically_increasing_id().alias("key"))
     rows = materialize(rows, "rows")
     count = rows.count()
-    per_shard = max(1, -(-count // (block_rows * OLD_SHARDS)))
-    block = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(max(64, per_shard))).cast("int")
-    rows = rows.withColumn("block", block)
-    blocks = materialize(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "blocks")
-    sizes = {r[0]: r[1] for r in blocks.groupBy("old_shard").agg(F.sum("bytes")).collect()}  # a row for each old shard
-    names = list(range(max(sizes, default=-1) + 1))
-    supply = [sizes.get(i, 0) for i in names]
+    per_shard = max(64, -(-count // (block_rows * OLD_SHARDS)))
+    tier = sum((F.col("size") < least).cast("int") for least in TIERS)
+    rows = rows.withColumn("tier", tier).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(per_shard)).cast("int"))
+    blocks = materialize(rows.groupBy("tier", "old_shard", "block").agg(F.sum("size").alias("bytes")), "blocks")
+    sizes = {(r[0], r[1]): r[2] for r in blocks.groupBy("tier", "old_shard").agg(F.sum("bytes")).collect()}  # a row for each tier and old shard
+    names = range(max((i for _, i in sizes), default=-1) + 1)
+    supply = [sum(x for (_, a), x in sizes.items() if a == i) for i in names]
     flow = min_cost_flow(supply, capacities or equal_capacities(sum(supply), shards))
-    stretches = docs.sparkSession.createDataFrame(_stretches(flow, names), "s_old int, shard int, s_from long, s_to long")
-    stretches = F.broadcast(stretches)  # at most old shards times new shards rows
-    running = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("before", F.coalesce(F.sum("bytes").over(running), F.lit(0)))
-    inside = (F.col("old_shard") == F.col("s_old")) & (F.col("before") < F.col("s_to")) & (F.col("before") + F.col("bytes") > F.col("s_from"))
-    touched = placed.join(stretches, inside).groupBy("old_shard", "block", "before").agg(F.min("shard").alias("one"), F.count("*").alias("parts"))
-    touched = materialize(touched.select(F.col("old_shard").alias("t_old"), F.col("block").alias("t_block"), "before", F.when(F.col("parts") == 1, F.col("one")).alias("one")), "placed")
-    joined = rows.join(touched, (F.col("old_shard") == F.col("t_old")) & (F.col("block") == F.col("t_block"))).drop("t_old", "t_block")
-    columns = ["id", "size", "text_crc32", "old_shard", "block", "key"]
-    whole = joined.where("one IS NOT NULL").select(*columns, F.col("one").alias("shard"))
-    in_block = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    cut = joined.where("one IS NULL").withColumn("middle", F.col("before") + F.coalesce(F.sum("size").over(in_block), F.lit(0)) + F.col("size") / 2)
-    cut = cut.join(stretches, (F.col("old_shard") == F.col("s_old")) & (F.col("middle") >= F.col("s_from")) & (F.col("middle") < F.col("s_to"))).select(*columns, "shard")
-    moved = materialize(whole.unionByName(cut), "moved")
-    # Slots: a running count over (shard, old shard, block), then the row's number within.
-    groups = moved.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = groups.select(F.col("shard").alias("g_shard"), F.col("old_shard").alias("g_old"), F.col("block").alias("g_block"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    number = F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy("key")) - 1
-    numbered = moved.withColumn("number", number).join(bases, (F.col("shard") == F.col("g_shard")) & (F.col("old_shard") == F.col("g_old")) & (F.col("block") == F.col("g_block")))
+    room = len(capacities or range(shards))
+    load, seen = [0] * room, dict.fromkeys(names, 0)
+    moved = []
+    for t in sorted({t for t, _ in sizes}):
+        here = {i: x for (k, i), x in sizes.items() if k == t}
+        for i, x in here.items():
+            seen[i] += x
+        # What each new shard should hold by now, less what it does: the tier's own flow makes that good.
+        demand = [max(0, -int(-sum(x * (seen[i] / supply[i]) for (i, k), x in flow.items() if k == j) // 1) - load[j]) for j in range(room)]
+        demand[0] += max(0, sum(here.values()) - sum(demand))
+        tier_flow = min_cost_flow([here.get(i, 0) for i in names], demand)
+        done = materialize(_place(rows.where(F.col("tier") == t), blocks.where(F.col("tier") == t), _stretches(tier_flow, here)), "moved")
+        for j, x in done.groupBy("shard").agg(F.sum("size")).collect():  # a row for each new shard
+            load[j] += x
+        moved.append(done)
+    if not moved:
+        return rows.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
+    placed = reduce(DataFrame.unionByName, moved)
+    # Slots: a running count over (shard, old shard, tier, block), then the row's number within.
+    parts = ["shard", "old_shard", "tier", "block"]
+    groups = placed.groupBy(*parts).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("shard").orderBy(*parts[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    bases = groups.select(*[F.col(c).alias(f"g_{c}") for c in parts], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    number = F.row_number().over(Window.partitionBy(*parts).orderBy("key")) - 1
+    numbered = placed.withColumn("number", number).join(bases, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"g_{c}") for c in parts]))
     return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("number")).alias("slot"))
 
 

@@ -454,7 +454,7 @@ def test_resharding(spark, odd, block_rows):
     sizes = collections.Counter()
     for r in rows:
         sizes[r.shard] += r.size
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 4
 
 
 def test_resharding_odd_rows(odd, empty):
