@@ -73,14 +73,17 @@ class Encoder:
 
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, tokenizer_path: str, words: int = 350_000, pieces: int = 500_000):
+    TAIL = frozenset(b".,;:!?")
+
+    def __init__(self, tokenizer_path: str, words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
-        plain = all(self._piece(x) == self._ids(x) for x in ("a", "the", "wörter", "!!", "7", "naïveté", "...?"))
-        self.words, self.pieces = _Recent(words, self._word), _Recent(pieces, self._piece if plain else self._ids)
+        if any(self._piece(x) != self._ids(x) for x in ("a", "the", "wörter", "!!", "7", "naïveté", "...?")):
+            self._piece = self._ids
+        self.words = _Recent(words, self._word)
 
     def _ids(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -91,12 +94,19 @@ class Encoder:
         return array("i", [token.id for token in self.model.tokenize(text)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters: one piece
+            low = word.lower()
+            return self._piece(word.decode()) if low == word else self.words[low]
+        head = word[:-1]
+        if head.isalpha() and word[-1] in self.TAIL:
+            return self.words[head.lower()] + self.words[word[-1:]]
         text = word.decode("utf-8", "replace")
         if not text.isprintable() or not word.isascii() and max(word) >= 0xC4 or b"<|" in word:
             return self._ids(text)
-        if text.isalpha():
-            return self.pieces[text.lower()]
-        return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(text.lower())))
+        pieces = self.PIECE.findall(text.lower())
+        if pieces == [text]:
+            return self._piece(text)
+        return b"".join([self.words[p.encode()] for p in pieces])
 
     def __call__(self, texts: Iterable[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers in the machine's order."""
@@ -104,7 +114,6 @@ class Encoder:
         for text in texts:
             out.append(b"".join(map(self.words.__getitem__, text.split())))
             self.words.age()
-            self.pieces.age()
         return out
 
 
