@@ -237,34 +237,34 @@ def _template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "t_family string, t_number int, t_grams array<string>")
 
 
-def paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, ``id_col``, paragraph, family, probability, template_cover, confirmed): every paragraph not classed `none`.
-
-    ``family`` is the classifier's, or `unknown` if its calibrated probability is too low.
+def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n_paragraphs, paragraph, family, probability, template_cover, confirmed) for every paragraph with a mark,
+    and one row with a null paragraph for every text without any. ``row`` tells repeated rows apart.
     """
-    model = model or fit()
     spark = docs.sparkSession
     lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     marked = lambda text: " OR ".join(f"contains({text}, '{m}')" for m in MARKS)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), lowered.alias("low")).where(F.expr(marked("low")))
-    parts = base.select("row", id_col, F.posexplode(F.split("low", "\n")).alias("paragraph", "line")).where(F.expr(marked("line")))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(lowered, "\n").alias("lines"))
+    lines = F.expr(f"filter(transform(lines, (x, i) -> struct(i AS paragraph, x AS line)), x -> {marked('x.line')})")
+    parts = base.select("row", "id", F.size("lines").cast("long").alias("n_paragraphs"), F.explode_outer(lines).alias("p"))
+    parts = parts.select("row", "id", "n_paragraphs", "p.paragraph", F.coalesce("p.line", F.lit("")).alias("line"))
     stripped = F.filter(F.transform(split_words(F.col("line"), SEPARATORS), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
-    parts = parts.select("row", id_col, "paragraph", stripped.alias("words"))
+    keys = ["row", "id", "n_paragraphs", "paragraph"]
+    parts = parts.select(*keys, stripped.alias("words"))
     gram = lambda n: f"if(size(words) >= {n}, transform(sequence(0, size(words) - {n}), i -> concat_ws(' ', {', '.join(f'words[i + {k}]' for k in range(n))})), CAST(array() AS ARRAY<STRING>))"
-    parts = parts.select("row", id_col, "paragraph", F.expr(f"array_distinct(concat({gram(1)}, {gram(2)}, {gram(3)}))").alias("grams"))
-    anchored = F.filter("grams", lambda g: F.expr("false") if not ANCHORS else _any_contains(g))
-    parts = parts.select("row", id_col, "paragraph", "grams", F.explode_outer(anchored).alias("gram"))
+    parts = parts.select(*keys, F.expr(f"array_distinct(concat({gram(1)}, {gram(2)}, {gram(3)}))").alias("grams"))
+    parts = parts.select(*keys, "grams", F.explode_outer(F.filter("grams", _any_contains)).alias("gram"))
     known = F.broadcast(_weight_table(spark, model).withColumnRenamed("gram", "known"))  # the vocabulary: a few thousand rows
-    sums = parts.join(known, F.col("gram") == F.col("known"), "left").groupBy("row", id_col, "paragraph").agg(
+    sums = parts.join(known, F.col("gram") == F.col("known"), "left").groupBy(*keys).agg(
         F.first("grams").alias("grams"), F.count("known").alias("n"), *[F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0.0)).alias(f"s{c}") for c in range(len(model.classes))]
     )
     scale = F.when(F.col("n") > 0, 1 / F.sqrt("n")).otherwise(0.0)
     z = [(F.lit(b) + scale * F.col(f"s{c}")) / F.lit(model.temperature) for c, b in enumerate(model.bias)]
-    scored = sums.select("row", id_col, "paragraph", "grams", F.array(*z).alias("z"))
+    scored = sums.select(*keys, "grams", F.array(*z).alias("z"))
     scored = scored.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int"))
     scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     names = F.array(*[F.lit(c) for c in model.classes])
-    scored = scored.withColumn("family", F.element_at(names, F.col("best"))).where(F.col("family") != NONE)
+    scored = scored.withColumn("family", F.element_at(names, F.col("best")))
     # A template confirms if the paragraph holds its 3-grams, or it holds those of a paragraph cut from it.
     by_family = F.broadcast(_template_table(spark).groupBy("t_family").agg(F.collect_list("t_grams").alias("templates")))
     compared = scored.join(by_family, F.col("family") == F.col("t_family"), "left")
@@ -275,7 +275,17 @@ def paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_i
     compared = compared.withColumn("template_cover", F.least(F.lit(1.0), F.coalesce(cover, F.lit(0.0))))
     sure = F.col("probability") >= F.lit(model.least)
     confirmed = F.col("template_cover") >= F.lit(COVERED)
-    return compared.select("row", id_col, "paragraph", F.when(sure | confirmed, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "template_cover", confirmed.alias("confirmed"))
+    family = F.when(F.col("family") == NONE, F.lit(NONE)).when(sure | confirmed, F.col("family")).otherwise(F.lit(UNKNOWN))
+    return compared.select(*keys, family.alias("family"), "probability", "template_cover", (confirmed & (F.col("family") != NONE)).alias("confirmed"))
+
+
+def paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, ``id_col``, paragraph, family, probability, template_cover, confirmed): every paragraph not classed `none`.
+
+    ``family`` is the classifier's, or `unknown` if its calibrated probability is too low and no template confirms it.
+    """
+    found = _scored(docs, model or fit(), id_col, text_col).where((F.col("family") != NONE) & F.col("paragraph").isNotNull())
+    return found.select("row", F.col("id").alias(id_col), "paragraph", "family", "probability", "template_cover", "confirmed")
 
 
 def _any_contains(gram):
@@ -293,13 +303,12 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     reads like a licence without confirmation, else `none`. Null and empty texts have one empty paragraph and
     no licence. Repeated rows give repeated results. Other columns are ignored; an empty table gives no rows.
     """
-    found = paragraphs(docs, model, id_col, text_col)
+    found = _scored(docs, model or fit(), id_col, text_col)
     best = F.max(F.when(F.col("confirmed"), F.struct(F.col("probability"), (-F.col("paragraph")).alias("first"), F.col("family"), F.col("template_cover"))))
-    per_row = found.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n_license"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), best.alias("best"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long").alias("n_paragraphs"))
-    joined = numbered.join(per_row, F.col("row") == F.col("_row"), "left")
-    return joined.select(
-        id_col, "n_paragraphs", F.coalesce("n_license", F.lit(0)).cast("long").alias("n_license"), F.coalesce("families", F.lit("")).alias("families"),
-        F.coalesce(F.col("best.family"), F.when(F.col("n_license") > 0, F.lit(UNKNOWN)), F.lit(NONE)).alias("license"),
+    reads = F.count(F.when(F.col("paragraph").isNotNull() & (F.col("family") != NONE), 1))
+    families = F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",")
+    per_row = found.groupBy("row", "id", "n_paragraphs").agg(reads.alias("n_license"), families.alias("families"), best.alias("best"))
+    return per_row.select(
+        F.col("id").alias(id_col), "n_paragraphs", "n_license", "families", F.coalesce(F.col("best.family"), F.when(F.col("n_license") > 0, F.lit(UNKNOWN)), F.lit(NONE)).alias("license"),
         F.coalesce(F.col("best.probability"), F.lit(0.0)).alias("probability"), F.coalesce(F.col("best.template_cover"), F.lit(0.0)).alias("template_cover"),
     )
