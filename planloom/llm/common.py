@@ -95,7 +95,7 @@ def ship(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough that very long texts fit in a Python worker."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return df.mapInArrow(function, schema)
 
 
