@@ -1,9 +1,8 @@
-"""Helpers that the text operators share: work tables, word patterns, Arrow batches."""
+"""Helpers that the text operators share: word patterns, Arrow batches, and the engine's work tables."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -11,54 +10,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planloom.sources.work import discard, shared_dir, work_path
+from planloom.sources.work import written as materialize
+
+__all__ = ["SPACE", "ascii_lower", "discard", "map_batches", "materialize", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "work_path"]
+
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (tests) gets a temporary folder and a cluster session an
-    error, since a machine-local folder is not visible to other executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="planloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, target = _file_system(spark, path)
-    files.deleteOnExit(target)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it: the lineage ends there."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``materialize`` returned, once nothing reads it."""
-    for file in df.inputFiles()[:1]:
-        files, target = _file_system(df.sparkSession, file.rsplit("/", 1)[0])
-        files.delete(target, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` has a fast path for ASCII; other texts need ``translate``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
