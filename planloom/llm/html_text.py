@@ -38,10 +38,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id or role that mark furniture.
 ROLES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus dropdown foot footer "
-    "gdpr hidden login masthead menu menubar metadata modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related reply replies respond "
-    "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets alert complementary feedback discussion sidenav responses rail".split()
+    "ad adbox ads adsbygoogle adslot adunit adv advert advertisement advertising advertorial adverts alert announcement banner breadcrumb breadcrumbs byline comment commentlist comments complementary consent contentinfo "
+    "cookie cookiebar cookies copyright disclaimer discussion disqus dropdown feedback foot footer form forms gdpr hidden legal login mainmenu masthead menu menubar menus metadata modal nav navbar navigation newsletter "
+    "notice notices notification notifications pager pagination popup promo promoted promotion rail recommended related replies reply respond responses search share sharing sidebar sidebars sidenav signup skip social "
+    "sponsor sponsored submenu subscribe subscription tags teaser toc toolbar topbar topnav widget widgets".split()
 )
+#: The same, but for containers within an article or named after one (`entry-header`).
+PAGE_ROLES = frozenset("header headers side aside".split())
+CONTENT = frozenset("article content entry main post section story".split())
 #: Class names that begin so say what a container has, not what it is (`with-sidebar`).
 ABOUT = frozenset("has with no not is without show hide enable disable".split())
 TAG = re.compile(r"""<(?:!--(?P<comment>)|[!?][^>]*>|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:_-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""")
@@ -57,7 +61,7 @@ class Block:
     good: bool | None = field(default=None)
 
 
-def _marked(rest: str) -> bool:
+def _marked(rest: str, article: int = 0) -> bool:
     """Whether the attributes name furniture or hide the element."""
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -68,6 +72,8 @@ def _marked(rest: str) -> bool:
                 return True
         elif any(not ROLES.isdisjoint(parts) and parts[0] not in ABOUT for x in value.split() if (parts := re.split(r"[^a-z0-9]+", x))):
             return True
+        elif not article and any(not PAGE_ROLES.isdisjoint(parts) and parts[0] not in ABOUT and CONTENT.isdisjoint(parts) for x in value.split() if (parts := re.split(r"[^a-z0-9]+", x))):
+            return True
     return False
 
 
@@ -150,7 +156,7 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
             continue
         if name == "a":
             link_depth = 1
-        if name in INLINE and not (hints and rest and _marked(rest)):
+        if name in INLINE and not (hints and rest and _marked(rest, article)):
             continue
         if name == "body":
             continue
@@ -164,7 +170,7 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
         if name in ARTICLE and not article:
             articles += 1
             article = articles
-        marked = name in FURNITURE or name == "header" and not article or name not in ARTICLE and name != "html" and hints and bool(rest) and _marked(rest)
+        marked = name in FURNITURE or name == "header" and not article or name not in ARTICLE and name != "html" and hints and bool(rest) and _marked(rest, article)
         hidden, furniture = hidden or name in HIDDEN, furniture or marked
         stack.append((name, hidden, furniture, article))
     end_block()

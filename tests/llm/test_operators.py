@@ -142,6 +142,8 @@ def test_html_without_article():
 def test_html_class_names_that_mislead():
     text = "The main text of this page is a long paragraph with the words that are in all of the texts, and so it is kept."
     assert html_text.main_text(f'<body><div class="page with-sidebar no-comments"><p>{text}</p><div class="sidebar"><p>Side</p></div></div></body>') == text
+    head = '<div class="site-header"><p>The name of the site and the words that are on top of all of its pages, every one of them.</p></div>'
+    assert html_text.main_text(f'<body>{head}<div class="post-header"><h1>Title</h1></div><div class="post-body"><p>{text}</p></div><div class="contact-form">Write to us</div></body>') == f"Title\n{text}"
     assert html_text.main_text(f'<body><div id="widget"><p>{text}</p></div><footer>us</footer></body>') == text
 
 
