@@ -17,7 +17,8 @@ from planloom.llm.common import ascii_lower, split_words
 WINDOW = 10
 #: Java class body of the characters between words, once A-Z are lowered.
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-BROADCAST_WINDOWS = 100_000
+#: The windows are broadcast up to this number, and while they name so many items each on average.
+BROADCAST_WINDOWS, ITEMS_A_WINDOW = 100_000, 10
 
 
 def words(text: Column) -> Column:
@@ -52,11 +53,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     ``row`` numbers the rows of ``docs`` within this frame, so that repeated rows stay apart.
     """
     windows = benchmark_windows(benchmark, item_col, item_text_col, window)
-    listed = windows.select("size", "h").limit(broadcast_windows + 1).collect()  # bounded by broadcast_windows
-    small = len(listed) <= broadcast_windows
+    listed = windows.select("size", "h", F.size("items").alias("n")).limit(broadcast_windows + 1).collect()  # bounded by broadcast_windows
+    small = len(listed) <= broadcast_windows and sum(r["n"] for r in listed) <= ITEMS_A_WINDOW * broadcast_windows
     by_size: dict[int, list[int] | None] = {}
     if small:
-        for size, h in sorted(listed):
+        for size, h, _ in sorted(listed):
             by_size.setdefault(size, []).append(h)
     else:
         by_size = {r[0]: None for r in windows.select("size").distinct().collect()}  # at most `window` sizes
