@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import ascii_lower, split_words
+from planloom.llm.common import ascii_lower, materialize, split_words
 
 WINDOW = 10
 #: Java class body of the characters between words, once A-Z are lowered.
@@ -88,9 +88,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows of ``docs`` without those whose id belongs to a contaminated text; rows without an id stay."""
-    bad = contamination(docs, benchmark, id_col, **columns).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` whose own text is not contaminated, whatever their id: ids may be null or repeated.
+
+    Rows are told apart by a key that is written once.
+    """
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    bad = contamination(keyed, benchmark, "_row", **columns).where("contaminated").select("_row")
+    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:

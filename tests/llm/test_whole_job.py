@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from planloom.llm import simhash
+from planloom.llm import decontaminate, simhash
 from planloom.llm.common import materialize
 
 DATA = "/root/testdata"
@@ -53,3 +53,14 @@ def test_near_dedup_of_large_groups(spark):
     rows = [(i, t, "en", "a", 1) for i, t in enumerate(chain + shared)]
     got = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r.doc_id for r in got) == plain_kept([r[:2] for r in rows])
+
+
+def test_rows_are_decided_one_by_one(spark):
+    """Repeated and null ids: near-dedup and decontamination look at a row's own text."""
+    leak = "one two three four five six seven eight nine ten eleven"
+    texts = [(1, "same text"), (1, "same text"), (None, "same text"), (None, "no id"), (None, "no id"), (2, leak), (2, "clean"), (None, leak)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts], DOCS)
+    shown = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert shown(simhash.keep_one(docs)) == sorted([(1, "same text"), (None, "no id"), (2, leak), (2, "clean")], key=str)
+    bench = spark.createDataFrame([(7, leak)], "item_id bigint, text string")
+    assert shown(decontaminate.remove_contaminated(docs, bench)) == sorted(texts[:5] + [(2, "clean")], key=str)
