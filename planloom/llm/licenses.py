@@ -125,8 +125,6 @@ OTHER: list[str] = [
 ]
 #: Anchors are found as substrings, so inflected forms count.
 ANCHORS = ("licens", "licenc", "copyright", "gnu", "apache", "mozilla", "spdx", "redistribut", "sublicens", "creativecommons", "creative commons", "public domain", "cc0", "mit", "bsd", "gpl", "cc by", "unencumbered", "hereby granted", "rights reserved", "proprietary", "as is")
-#: Substrings that a document must hold to be looked at: each anchor contains or equals one.
-MARKS = ("licens", "licenc", "copyright", "gnu", "apache", "mozilla", "spdx", "redistribut", "commons", "public domain", "cc0", "unencumbered", "hereby granted", "rights reserved", "proprietary")
 WORD = r"[^a-z0-9.+]+"
 SEPARATORS = r"\x00-\x2A\x2C\x2D\x2F\x3A-\x60\x7B-\x7F"
 EPOCHS, RATE, L2, SEED, COVERED = 300, 0.5, 1e-4, 5, 0.8
@@ -238,12 +236,12 @@ def _template_table(spark: SparkSession) -> DataFrame:
 
 
 def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n_paragraphs, paragraph, family, probability, template_cover, confirmed) for every paragraph with a mark,
+    """(row, id, n_paragraphs, paragraph, family, probability, template_cover, confirmed) for every paragraph with an anchor,
     and one row with a null paragraph for every text without any. ``row`` tells repeated rows apart.
     """
     spark = docs.sparkSession
     lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    marked = lambda text: " OR ".join(f"contains({text}, '{m}')" for m in MARKS)
+    marked = lambda text: f"({_plain_anchors(text)}) OR rlike({text}, '{_parted_anchors()}')"
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(lowered, "\n").alias("lines"))
     lines = F.expr(f"filter(transform(lines, (x, i) -> struct(i AS paragraph, x AS line)), x -> {marked('x.line')})")
     parts = base.select("row", "id", F.size("lines").cast("long").alias("n_paragraphs"), F.explode_outer(lines).alias("p"))
@@ -288,6 +286,15 @@ def paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_i
     return found.select("row", F.col("id").alias(id_col), "paragraph", "family", "probability", "template_cover", "confirmed")
 
 
+def _plain_anchors(text: str) -> str:
+    return " OR ".join(f"contains({text}, '{a}')" for a in ANCHORS if " " not in a)
+
+
+def _parted_anchors() -> str:
+    """Pattern of the anchors of more words: ``words`` may have found any separators and points between them."""
+    return "|".join(a.replace(" ", r"[\\x00-\\x2A\\x2C-\\x2F\\x3A-\\x60\\x7B-\\x7F]+") for a in ANCHORS if " " in a)
+
+
 def _any_contains(gram):
     found = F.lit(False)
     for a in ANCHORS:

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from planloom.llm import decontaminate, simhash
+from planloom.llm import decontaminate, licenses, simhash
 from planloom.llm.common import materialize
 
 DATA = "/root/testdata"
@@ -64,3 +64,11 @@ def test_rows_are_decided_one_by_one(spark):
     assert shown(simhash.keep_one(docs)) == sorted([(1, "same text"), (None, "no id"), (2, leak), (2, "clean")], key=str)
     bench = spark.createDataFrame([(7, leak)], "item_id bigint, text string")
     assert shown(decontaminate.remove_contaminated(docs, bench)) == sorted(texts[:5] + [(2, "clean")], key=str)
+
+
+def test_licence_prefilter_lets_every_anchor_through(spark):
+    model = licenses.fit()
+    texts = [t for family in licenses.TEMPLATES.values() for t in family] + [f"x {a} y" for a in licenses.ANCHORS]
+    texts += ["Released under the BSD 3-Clause terms", "Distributed under GPL v3", "Text is available under CC BY-SA 4.0", "Provided AS IS, without warranty", "CC-BY", "rights. -- reserved"]
+    found = licenses._scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, "doc_id", "text")
+    assert [texts[r.id] for r in found.collect() if r.paragraph is None] == []
