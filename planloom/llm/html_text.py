@@ -31,6 +31,8 @@ STOP_WORDS = frozenset(
 #: Elements whose content is never shown as text.
 HIDDEN = frozenset("script style noscript template textarea svg math iframe object canvas audio video select option datalist head title button".split())
 RAW = frozenset("script style noscript template textarea iframe title svg".split())
+#: Elements that may stand in a head; any other one ends it, as `</head>` may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript object script style template title".split())
 #: Elements that hold furniture of the page.
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
@@ -139,6 +141,8 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
                 if index >= 0:
                     close(index)
             continue
+        if name not in IN_HEAD and (index := next((i for i, x in enumerate(stack) if x[0] == "head"), -1)) >= 0 and not any(x[0] == "object" for x in stack[index:]):
+            close(index)
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from planloom.llm import decontaminate, licenses, simhash
+from planloom.llm import decontaminate, html_text, licenses, simhash
 from planloom.llm.common import materialize
 
 DATA = "/root/testdata"
@@ -72,3 +72,12 @@ def test_licence_prefilter_lets_every_anchor_through(spark):
     texts += ["Released under the BSD 3-Clause terms", "Distributed under GPL v3", "Text is available under CC BY-SA 4.0", "Provided AS IS, without warranty", "CC-BY", "rights. -- reserved"]
     found = licenses._scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, "doc_id", "text")
     assert [texts[r.id] for r in found.collect() if r.paragraph is None] == []
+
+
+PROSE = "This is the text of the page, and it has a long line that was written for the test in this file."
+
+
+def test_html_head_without_an_end_tag():
+    for after in ("<body><article><p>", "<article><p>", "<p>", "<body class=x><main><div>"):
+        assert html_text.main_text(f"<html><head><title>T</title><meta charset=utf-8>{after}{PROSE}") == PROSE
+    assert html_text.main_text(f"<head><title>T</title><style>p {{}}</style>lost</head><body><p>{PROSE}") == PROSE
