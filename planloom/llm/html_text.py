@@ -31,6 +31,8 @@ STOP_WORDS = frozenset(
 #: Elements whose content is never shown as text.
 HIDDEN = frozenset("script style noscript template textarea svg math iframe object canvas audio video select option datalist head title button".split())
 RAW = frozenset("script style noscript template textarea iframe title svg".split())
+#: Of these, those that hide nothing but their own tag if they have no end tag.
+MAY_STAY_OPEN = frozenset("svg template noscript".split())
 #: Elements that may stand in a head; any other one ends it, as `</head>` may be left out.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript object script style template title".split())
 #: Elements that hold furniture of the page.
@@ -89,6 +91,7 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
     hidden, furniture, article, articles = False, False, 0, 0
     pieces: list[str] = []
     links, link_depth, breaks = 0, 0, 0
+    endless: set[str] = set()  # names without an end tag from here on
 
     def end_block():
         nonlocal links, breaks
@@ -144,7 +147,12 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
         if name not in IN_HEAD and (index := next((i for i, x in enumerate(stack) if x[0] == "head"), -1)) >= 0 and not any(x[0] == "object" for x in stack[index:]):
             close(index)
         if name in RAW:
+            if name == "svg" and rest.endswith("/") or name in endless:
+                continue
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if not stop and name in MAY_STAY_OPEN:
+                endless.add(name)
+                continue
             at = stop.end() if stop else end
             continue
         if name == "br":

@@ -81,3 +81,10 @@ def test_html_head_without_an_end_tag():
     for after in ("<body><article><p>", "<article><p>", "<p>", "<body class=x><main><div>"):
         assert html_text.main_text(f"<html><head><title>T</title><meta charset=utf-8>{after}{PROSE}") == PROSE
     assert html_text.main_text(f"<head><title>T</title><style>p {{}}</style>lost</head><body><p>{PROSE}") == PROSE
+
+
+def test_html_svg_without_content_or_end():
+    for tag in ('<svg class="icon"/>', "<svg>", "<template>", "<noscript>"):
+        assert html_text.main_text(f"<body><article>{tag}<p>{PROSE}</p></article>") == PROSE
+    assert html_text.main_text(f"<article><svg/><p>{PROSE}</p><svg><text>no</text></svg></article>") == PROSE
+    assert html_text.main_text(f"<article><p>{PROSE}</p><script>never shown") == PROSE
