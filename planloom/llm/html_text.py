@@ -28,6 +28,16 @@ STOP_WORDS = frozenset(
     "aber als am an auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer er es für hat ich im ist mit nach nicht noch oder sich sie sind und von vor war wie wird zu zum zur "
     "al como con del el ella ellos era esta este fue ha las lo los más me mi muy no nos o para pero por porque sin sobre su sus también te tiene una uno y ya".split()
 )
+#: Those of more languages, for pages with few of the above.
+MORE_STOP_WORDS = STOP_WORDS | frozenset(
+    "che di è gli i per più si sono una uno alla della delle nel anche come ma questo ao aos às com da das do dos ele em foi isso mais não os pela pelo são seu sua também um uma "
+    "de een en het ik is maar met niet of ook op te van voor werd zijn aan dat die dit door er hij wordt att av den det ett för från har inte jag med och om på som till är var ikke og være "
+    "ale do i jak jest na nie o od po się to w z za że był była było przez dla oraz a je jako když se že v ve "
+    "в во и на не с со что он она они это как по из за к у о от для но а то бы же его её их был была было при так или мы вы я до также та і що як з у є "
+    "bir bu da de gibi için ile ise çok daha en her kadar ki ne o olan olarak sonra var ve veya".split()
+)
+#: Their languages inflect more and have fewer of them: what counts as dense and sparse there.
+MORE_DENSE, MORE_SPARSE = 0.12, 0.04
 #: Elements whose content is never shown as text.
 HIDDEN = frozenset("script style noscript template textarea svg math iframe object canvas audio video select option datalist head title button".split())
 RAW = frozenset("script style noscript template textarea iframe title svg".split())
@@ -189,21 +199,42 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
     return out
 
 
+def _density(words: list[str], known: frozenset[str]) -> float:
+    return sum(w.strip(".,;:!?\"'()") in known for w in words) / max(1, len(words))
+
+
+def _language(plain: list[Block]) -> tuple[frozenset[str], float, float] | None:
+    """Stop words to judge a page by, with the densities of main text and of other text; None if hardly any are known."""
+    words = [w for b in plain if _width(b.text) >= SHORT for w in b.text.lower().split()]
+    if _density(words, STOP_WORDS) >= SPARSE:
+        return STOP_WORDS, DENSE, SPARSE
+    return (MORE_STOP_WORDS, MORE_DENSE, MORE_SPARSE) if _density(words, MORE_STOP_WORDS) >= MORE_DENSE else None
+
+
+def _width(text: str) -> int:
+    """Length, with East Asian characters counted twice: they say more than a letter."""
+    return len(text) if text.isascii() else len(text) + sum(c >= "\u2e80" for c in text)
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Decide each block: own figures first, then the nearest decided neighbour."""
     plain = [b for b in found if not b.furniture and b.links <= LINK_DENSITY * len(b.text)]
     inside = sum(len(b.text) for b in plain if b.article)
     by_article = inside >= ARTICLE_SHARE * sum(len(b.text) for b in plain) and inside > 0
+    language = _language(plain)
     for b in found:
         size = len(b.text)
         if b.furniture or b.links > LINK_DENSITY * size or by_article and not b.article:
             b.good = False
+        elif language is None and not b.article:  # in an unknown language, length and links decide
+            if _width(b.text) >= SHORT:
+                b.good = True
         elif size >= SHORT:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if b.article or density >= DENSE:
+            known, dense, sparse = language or (STOP_WORDS, DENSE, SPARSE)
+            density = _density(b.text.lower().split(), known)
+            if b.article or density >= dense:
                 b.good = True
-            elif density < SPARSE:
+            elif density < sparse:
                 b.good = False
     _inherit(found)
     return found

@@ -88,3 +88,15 @@ def test_html_svg_without_content_or_end():
         assert html_text.main_text(f"<body><article>{tag}<p>{PROSE}</p></article>") == PROSE
     assert html_text.main_text(f"<article><svg/><p>{PROSE}</p><svg><text>no</text></svg></article>") == PROSE
     assert html_text.main_text(f"<article><p>{PROSE}</p><script>never shown") == PROSE
+
+
+def test_html_pages_in_other_languages():
+    texts = [
+        "Вчера вечером жители города собрались на площади, чтобы обсудить новый план развития района и парка.",
+        "Wczoraj wieczorem mieszkańcy miasta zebrali się na rynku, aby omówić nowy plan rozwoju dzielnicy i parku.",
+        "Dün akşam şehir sakinleri meydanda toplanarak yeni gelişim planını ve park projesini uzun uzun tartıştılar.",
+        "昨天晚上，城市居民聚集在广场上讨论新的区域发展计划和公园建设方案，会议持续了三个小时，许多人发表了意见。",
+        "Tegnap este összegyűltek lakosok téren, hogy megvitassák kerület fejlesztési tervét, valamint parkot és iskolát.",
+    ]
+    for text in texts:
+        assert text in html_text.main_text(f"<body><nav><a href=x>{text}</a></nav><div><p>{text}</p><p>{text}</p></div></body>").split("\n")
