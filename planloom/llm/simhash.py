@@ -11,28 +11,27 @@ more, by the one-wildcard variants of the other segment's halves, which bounds a
 values its free bits allow; no link is lost.
 
 ``keep_one``, the pipeline's near-dedup, has a rule of its own: sets of five-word shingles with a Jaccard
-similarity of 0.8 or more (``similar_rows``), which a radius of three bits does not reach.
+similarity of 0.8 or more. Fingerprints of such texts differ in ten bits on average and in up to twenty, which
+leaves segments of a 64-bit fingerprint too short to be an index; the candidates come from ``similar`` instead.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import discard, map_batches, materialize, texts_in
+from planloom.llm.common import map_batches, materialize, texts_in
+from planloom.llm.components import components
+from planloom.llm.similar import similar_rows
 
 MAX_DISTANCE, SEED, WORDS = 3, 42, 3
 #: Buckets up to this size are compared by shifts of the sorted column, larger ones by a search from each member.
 SHIFTED = 12
 #: Buckets over this size are indexed a second time.
 REINDEXED = 2048
-#: Words of a shingle for ``keep_one``, and the buckets in which shingles are counted to order them.
-NEAR_WORDS, RANKS = 5, 1 << 20
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -171,31 +170,6 @@ def links(prints: DataFrame) -> DataFrame:
     return map_batches(dealt, run, "src bigint, dst bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for nodes that are not their own root.
-
-    Alternates large-star and small-star steps until nothing changes. The minimum per node is
-    aggregated map-side, written and joined back: a node with very many neighbours is a skewed partition
-    of a plain exchange, which adaptive execution splits. Each round is written to the shared folder: no lineage grows.
-    """
-    state = materialize(edges.select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("root")).where("node != root"), "links")
-    before = None
-    while True:
-        both = state.unionByName(state.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        minima = materialize(both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("low", "node").alias("low")), "lowest")
-        large = both.join(minima, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        lowest = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(lowest, "node").select(F.explode(F.expr("array(struct(node, low AS root), struct(root AS node, low AS root))")).alias("e")).select("e.*").where("node != root").distinct()
-        after = materialize(small, "links")
-        discard(state)
-        discard(minima)
-        state = after
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return state
-        before = mark
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, fingerprint, component_id) for every row of ``docs``.
 
@@ -213,198 +187,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.expr("lower(lpad(hex(fp), 16, '0'))").alias("fingerprint"), "component_id")
 
 
-def shingles(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a UTF-8 text, cut as for ``fingerprint``."""
-    parts = text.lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    grams = {*map(b" ".join, zip(*(parts[i:] for i in range(words))))} or {b" ".join(parts)}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
-
-
-@functools.lru_cache(maxsize=16)
-def _shingles_again(text: bytes) -> np.ndarray:
-    """``shingles`` for texts that come many times in a row."""
-    return shingles(text)
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two sets of distinct hashes is 0.8 or more; two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * both >= 4 * (len(a) + len(b) - both)
-
-
-def _ranks(texts: DataFrame) -> np.ndarray:
-    """By the last bits of a shingle's hash, how common such shingles are (logarithmic).
-
-    It only orders shingles, so that those of a common passage come last; any order finds the same pairs.
-    """
-
-    def count(batches):
-        counts = np.zeros(RANKS, np.int64)
-        for batch in batches:
-            for text in texts_in(batch.column(0)):
-                np.add.at(counts, (shingles(text) % np.uint64(RANKS)).astype(np.int64), 1)
-        parts = counts.reshape(-1, 1 << 12)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
-        ranks = {k: (2 * np.log2(v + 1.0)).astype(np.uint8).tobytes() for k, v in sums.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(ranks), pa.int32()), pa.array(list(ranks.values()), pa.binary())], names=["part", "ranks"])
-
-    summed = map_batches(map_batches(texts, count, "part int, counts binary").repartition("part"), total, "part int, ranks binary")
-    out = np.zeros(RANKS, np.uint8)
-    for part, ranks in summed.collect():  # RANKS bytes in all
-        out[part << 12 : (part + 1) << 12] = np.frombuffer(ranks, np.uint8)
-    return out
-
-
-def _runs(batches):
-    """The columns of batches sorted by the first, in pieces that never part a run of equal first values."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
-        rows += batch.num_rows
-        if rows < 1 << 17:
-            continue
-        columns = [np.concatenate(x) for x in zip(*held)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut:
-            yield [c[:cut] for c in columns]
-        held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
-    if rows:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(key, row, n): the rarest fifth of each row's shingles, and their number in all.
-
-    Of two sets with a similarity of 0.8 or more, each has four fifths of its members in the other, so
-    their first fifths and one in a common order share a member (prefix filter): no such pair is missed.
-    """
-    ranks = texts.sparkSession.sparkContext.broadcast(_ranks(texts.select("text")))
-
-    def run(batches):
-        def out(held):
-            sizes = [len(x) for _, _, x in held]
-            columns = np.concatenate([x for _, _, x in held]), np.repeat([r for r, _, _ in held], sizes), np.repeat([n for _, n, _ in held], sizes)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in columns], names=["key", "row", "n"])
-
-        for batch in batches:
-            held, size = [], 0
-            for row, text in zip(batch.column(0).to_pylist(), texts_in(batch.column(1))):
-                hashes = shingles(text)
-                n = len(hashes)
-                order = np.lexsort((hashes, ranks.value[(hashes % np.uint64(RANKS)).astype(np.int64)]))
-                held.append((row, n, hashes[order[: n - -(-4 * n // 5) + 1]].view(np.int64)))
-                size += n
-                if size > 1 << 18:
-                    yield out(held)
-                    held, size = [], 0
-            if held:
-                yield out(held)
-
-    return map_batches(texts.select("row", "text"), run, "key bigint, row bigint, n bigint")
-
-
-def _pairs(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify from buckets of (key, row, n, root), and the members of the buckets that are not done.
-
-    A bucket of up to ``SHIFTED`` rows gives all pairs that are not yet in one component and whose sizes allow
-    0.8. A larger one gives those of its first ``pivots`` rows, which are then done; the others go on.
-    """
-
-    def run(batches):
-        for keys, rows, sizes, roots in _runs(batches):
-            found, left = [], []
-            starts, counts = _groups(keys)
-            small = np.repeat(counts <= SHIFTED, counts)
-            k, r, n, o = keys[small], rows[small], sizes[small], roots[small]
-            for lag in range(1, min(SHIFTED, len(k))):
-                hit = (k[lag:] == k[:-lag]) & (o[lag:] != o[:-lag]) & _sizes_allow(n[lag:], n[:-lag])
-                found.append(np.stack([r[:-lag][hit], r[lag:][hit]]))
-            for start, count in zip(starts[counts > SHIFTED], counts[counts > SHIFTED]):
-                r, n, o = (x[start : start + count] for x in (rows, sizes, roots))
-                if (o == o[0]).all():
-                    continue
-                for i in range(min(pivots, count - 1)):
-                    hit = (o[i + 1 :] != o[i]) & _sizes_allow(n[i + 1 :], n[i])
-                    found.append(np.stack([np.full(int(hit.sum()), r[i]), r[i + 1 :][hit]]))
-                if count - pivots > 1:
-                    left.append(slice(start + pivots, start + count))
-            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.empty((2, 0), np.int64)
-            rest = [np.concatenate([x[s] for s in left]) if left else np.empty(0, np.int64) for x in (keys, rows, sizes)]
-            size, more = pairs.shape[1], len(rest[0])
-            none = lambda m: np.zeros(m, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((pairs[0], none(more)), (pairs[1], none(more)), (none(size), rest[0]), (none(size), rest[1]), (none(size), rest[2]))], names=["a", "b", "key", "row", "n"])
-
-    dealt = members.repartition("key").sortWithinPartitions("key", F.xxhash64("row"))
-    out = materialize(map_batches(dealt.select("key", "row", "n", "root"), run, "a bigint, b bigint, key bigint, row bigint, n bigint"), "pairs")
-    return out.where("n = 0").select("a", "b").distinct(), out.where("n > 0").select("key", "row", "n")
-
-
-def _sizes_allow(a: np.ndarray, b) -> np.ndarray:
-    return (5 * a >= 4 * b) & (5 * b >= 4 * a)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): the pairs whose texts are similar."""
-
-    def run(batches):
-        for batch in batches:
-            keep = [similar(_shingles_again(a), _shingles_again(b)) for a, b in zip(texts_in(batch.column(2), 8), texts_in(batch.column(3), 8))]
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (texts.select(F.col("row").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "a_text", "b_text")
-    return map_batches(joined, run, "src bigint, dst bigint")
-
-
-def similar_rows(texts: DataFrame) -> DataFrame:
-    """(row, root) for every row of (``row`` long, ``text`` binary): the smallest row of its component.
-
-    Rows are linked where the Jaccard similarity of their sets of five-word shingles is 0.8 or more (a text of
-    fewer words is one shingle). Candidates are complete and each link is verified. Equal sets collapse first.
-    Large buckets are compared with a few of their rows at a time, and what this links is not compared again.
-    """
-
-    def run(batches):
-        for batch in batches:
-            sets = [xxhash.xxh128_digest(shingles(t).tobytes()) for t in texts_in(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "same"])
-
-    sets = materialize(map_batches(texts.select("row", "text"), run, "row bigint, same binary"), "sets")
-    classes = materialize(sets.groupBy("same").agg(F.min("row").alias("first")), "classes")
-    distinct = texts.join(classes.select(F.col("first").alias("row")), "row", "left_semi")
-    distinct = materialize(distinct, "distinct")
-    members = _prefixes(distinct).withColumn("root", F.col("row"))
-    edges, pivots, roots = None, 4, None
-    while True:
-        pairs, rest = _pairs(members, pivots)
-        found = materialize(_verified(pairs, distinct), "similar")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        if rest.isEmpty():
-            break
-        members = rest.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
-        pivots *= 4
-    named = classes.join(roots, classes["first"] == roots["node"], "left").select("same", F.coalesce("root", "first").alias("root"))
-    return sets.join(named, "same").select("row", "root")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of rows that ``similar_rows`` links, the row with the smallest id, in whole.
+    """Of each component of rows whose texts ``similar.similar_rows`` links, the row with the smallest id, in whole.
 
     Five-word shingles and a Jaccard similarity of 0.8 or more, where ``near_duplicates`` (op3_simhash) has
     three bits of a fingerprint of three-word shingles. Rows are told apart by a key that is written once, so of
-    repeated rows one stays; a row without an id stays only if its component has no row with one.
+    repeated rows one stays; a row without an id stays only if its component has no row with one. Null, empty
+    and blank texts are one component. Other columns may have any name. An empty table gives no rows.
     """
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    roots = similar_rows(keyed.select(F.col("_row").alias("row"), F.col(text_col).cast("binary").alias("text")))
-    named = roots.join(keyed.select(F.col("_row").alias("row"), F.col(id_col).alias("id")), "row")
-    kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole")), "keyed")
+    texts = keyed.select("row", F.col("whole")[text_col].cast("binary").alias("text"))
+    named = similar_rows(texts).join(keyed.select("row", F.col("whole")[id_col].alias("id")), "row")
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    return keyed.join(kept, "row", "left_semi").select("whole.*")
