@@ -191,13 +191,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Of each component of rows whose texts ``similar.similar_rows`` links, the row with the smallest id, in whole.
 
     Five-word shingles and a Jaccard similarity of 0.8 or more, where ``near_duplicates`` (op3_simhash) has
-    three bits of a fingerprint of three-word shingles. Rows are told apart by a key that is written once, so of
+    three bits of a fingerprint of three-word shingles. Rows are told apart by two hashes of id and text, so of
     repeated rows one stays; a row without an id stays only if its component has no row with one. Null, empty
     and blank texts are one component. Other columns may have any name. An empty table gives no rows.
+    ``docs`` is read several times and must give the same rows each time: a table, not a sample.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole")), "keyed")
-    texts = keyed.select("row", F.col("whole")[text_col].cast("binary").alias("text"))
-    named = similar_rows(texts).join(keyed.select("row", F.col("whole")[id_col].alias("id")), "row")
-    kept = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).select(F.col("least.row").alias("row"))
-    return keyed.join(kept, "row", "left_semi").select("whole.*")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole.alias("whole"))
+    keyed = keyed.withColumns({"k1": F.xxhash64("text", "id"), "k2": F.xxhash64(F.lit(1), F.col("id"), F.col("text"))})
+    roots = similar_rows(keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")))
+    ids = keyed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    kept = roots.distinct().join(ids, ["k1", "k2"]).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2", "n")).alias("least")).select("least.k1", "least.k2", "least.n")
+    kept = materialize(kept, "kept")
+    many = kept.where("n > 1")
+    out = keyed.join(kept.where("n = 1"), ["k1", "k2"], "left_semi").select("whole")
+    if not many.isEmpty():
+        out = out.unionByName(keyed.join(many, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("whole").alias("whole")).select("whole"))
+    return out.select("whole.*")
