@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planloom.sources.work import discard, shared_dir, work_path
 from planloom.sources.work import written as materialize
 
-__all__ = ["SPACE", "ascii_lower", "discard", "map_batches", "materialize", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "work_path"]
+__all__ = ["SPACE", "ascii_lower", "discard", "map_batches", "materialize", "row_keys", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "work_path"]
 
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -36,6 +36,12 @@ def space_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """``k1`` and ``k2``: 128 bits of hash of a row's id and text, nulls told apart from all else."""
+    row_id, text = F.col(id_col), F.col(text_col)
+    return F.xxhash64(text, row_id, text.isNull(), row_id.isNull()).alias("k1"), F.xxhash64(F.lit(1), row_id, text, text.isNull(), row_id.isNull()).alias("k2")
+
+
 _shipped: set[str] = set()
 
 

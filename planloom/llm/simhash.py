@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import map_batches, materialize, texts_in
+from planloom.llm.common import map_batches, materialize, row_keys, texts_in
 from planloom.llm.components import components
 from planloom.llm.similar import similar_rows
 
@@ -197,8 +197,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``docs`` is read several times and must give the same rows each time: a table, not a sample.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole.alias("whole"))
-    keyed = keyed.withColumns({"k1": F.xxhash64("text", "id"), "k2": F.xxhash64(F.lit(1), F.col("id"), F.col("text"))})
+    keyed = docs.select(*row_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole.alias("whole"))
     roots = similar_rows(keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")))
     ids = keyed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     kept = roots.distinct().join(ids, ["k1", "k2"]).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2", "n")).alias("least")).select("least.k1", "least.k2", "least.n")

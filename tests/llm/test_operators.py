@@ -316,14 +316,15 @@ def plain_contamination(text, items):
 ITEMS = [(1, "the same line stands"), (2, None), (3, "--"), (10, "Word0 foo word1 foo word2 foo word3 foo word4 foo word5 foo"), (None, "no id here"), (4, "the same line stands"), (5, "ÉTÉ")]
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_decontamination(spark, odd, broadcast):
+@pytest.mark.parametrize("sets", [{}, {"listed_windows": 0}, {"listed_windows": 0, "broadcast_hashes": 700}])
+def test_decontamination(spark, odd, sets, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 64)
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     if Path(DATA).exists():
         items = items.unionByName(sample(spark, "benchmark").withColumn("item_id", F.col("item_id") + 100))
     docs = both(spark, odd).withColumn("items", F.lit("x")).withColumn("words", F.lit(1))
     known = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
-    got = decontaminate.contamination(docs, items, broadcast_windows=broadcast)
+    got = decontaminate.contamination(docs, items, **sets)
     got = collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect() if r.doc_id is not None)
     assert got == collections.Counter((d, *plain_contamination(t, known)) for d, t in texts(docs) if d is not None)
 

@@ -100,3 +100,18 @@ def test_html_pages_in_other_languages():
     ]
     for text in texts:
         assert text in html_text.main_text(f"<body><nav><a href=x>{text}</a></nav><div><p>{text}</p><p>{text}</p></div></body>").split("\n")
+
+
+def test_spans_of_repeated_ids_and_clashing_names(spark):
+    """Spans go from the row whose text has them; helper names of the operators may be columns of the input."""
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a {leak} b"), (1, "clean alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, f"{leak} c"), (None, None), (None, "")]
+    names = ["_row", "_id", "_hits", "_lost", "_pieces", "_kept", "_bad", "k1", "k2", "whole", "row", "root", "class", "hits", "lost", "pieces", "id", "size", "words", "gram"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(7, leak)], "item_id bigint, text string")
+    got = decontaminate.remove_spans(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a b"), (1, rows[1][1]), (None, "c"), (None, None), (None, "")], key=str)
+    assert decontaminate.remove_contaminated(docs, bench).count() == 3
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == 4
