@@ -1,7 +1,7 @@
 """Language identification with string kernels.
 
-Blended-spectrum presence kernel: a text is the set of its character n-grams, n = 1 to 4 bytes of the
-lowered text with everything but letters folded to one space; k(x, y) is the mean over n of
+Blended-spectrum presence kernel: a text is the set of its character n-grams, n = 1 to 4 characters of the
+lowered text with everything but letters and marks folded to one space; k(x, y) is the mean over n of
 |S_n(x) & S_n(y)| / sqrt(|S_n(x)| |S_n(y)|). N-grams are hashed to a fixed number of slots per n. One-versus-rest kernel
 ridge regression is fitted on a Nystroem approximation with landmark texts. Since the kernel is linear
 in the presence vectors, the product of landmarks and ridge weights is taken once, and texts are scored
@@ -10,26 +10,33 @@ by one matrix product for each batch.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from planloom.llm.common import map_batches, texts_in
 
-#: Bits of the slot table for n-grams of 1, 2, 3 and 4 bytes.
-BITS = (8, 12, 14, 15)
+#: Bits of the slot table for n-grams of 1, 2, 3 and 4 characters.
+BITS = (10, 13, 15, 16)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
 SLOTS = int(STARTS[-1])
-#: The classifier is fitted on at most so many labelled texts of each language, of which so many are landmarks.
-FIT_PER_CLASS, LANDMARKS_PER_CLASS, MAX_LANDMARKS, MAX_CLASSES, RIDGE = 300, 40, 400, 200, 1e-2
+#: The classifier is fitted on at most so many labelled texts of each language, and so many in all (but ``LEAST`` of
+#: each language); of these so many of each, and in all (but one of each), are landmarks. All languages are learned.
+FIT_PER_CLASS, FIT_TEXTS, LEAST, LANDMARKS_PER_CLASS, LANDMARKS, RIDGE = 300, 12_000, 10, 40, 400, 1e-2
 HELD_OUT = 2
+PIECE = 1 << 16
+
 
-#: Bytes to codes: ASCII letters are lowered, bytes of other letters stay, the rest is one space.
-_CODES = np.full(256, 32, np.uint8)
-_CODES[97:123] = np.arange(97, 123)
-_CODES[65:91] = np.arange(97, 123)
-_CODES[128:] = np.arange(128, 256)
+@functools.cache
+def _codes() -> np.ndarray:
+    """By code point: itself for letters and marks, else a space."""
+    kept = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    return np.where(kept, np.arange(0x110000, dtype=np.uint32), np.uint32(32))
 
 
 def has_letter(text: str) -> bool:
@@ -38,17 +45,17 @@ def has_letter(text: str) -> bool:
 
 def presence(text: str, row: np.ndarray) -> None:
     """Fill ``row`` (SLOTS zeros) with the normalised presence vector of a text."""
-    codes = _CODES[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
+    codes = _codes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
     present = np.zeros(SLOTS, bool)
-    for start in range(0, len(codes), 1 << 16):  # whole text, piece by piece, overlapping by three bytes
-        part = codes[start : start + (1 << 16) + 3].astype(np.uint32)
-        gram = np.zeros(len(part), np.uint32)
+    for start in range(0, len(codes), PIECE):  # whole text, piece by piece, overlapping by three characters
+        part = codes[start : start + PIECE + 3].astype(np.uint64)
+        gram = np.zeros(len(part), np.uint64)
         for n, bits in enumerate(BITS):
             if len(part) <= n:
                 break
-            gram = (gram[: len(part) - n] << np.uint32(8)) | part[n:]
-            slot = (gram * np.uint32(2654435761)) >> np.uint32(32 - bits)
-            present[STARTS[n] + slot] = True
+            gram = gram[: len(part) - n] * np.uint64(0x110000) + part[n:]  # four code points need 81 bits: the highest ones wrap
+            slot = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+            present[STARTS[n] + slot.astype(np.int64)] = True
     for n in range(len(BITS)):
         inside = slice(STARTS[n], STARTS[n + 1])
         count = np.count_nonzero(present[inside])
@@ -68,21 +75,24 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str], per_class: int = LANDMARKS_PER_CLASS, ridge: float = RIDGE):
         self.classes = sorted(set(langs))
-        labels = np.array([self.classes.index(x) for x in langs], dtype=int)
+        place = {c: k for k, c in enumerate(self.classes)}
+        labels = np.array([place[x] for x in langs], dtype=int)
         if not texts:
             self.weights = np.zeros((SLOTS, 0), np.float32)
             return
-        per_class = max(1, min(per_class, MAX_LANDMARKS // len(self.classes)))
+        per_class = max(1, min(per_class, LANDMARKS // len(self.classes)))
         chosen = np.concatenate([np.flatnonzero(labels == c)[:per_class] for c in range(len(self.classes))])
         landmarks = presences([texts[i] for i in chosen])
-        parts = [presences(texts[i : i + 64]) @ landmarks.T for i in range(0, len(texts), 64)]  # a few texts at a time
-        near = np.concatenate(parts).astype(np.float64)
-        target = np.where(labels[:, None] == np.arange(len(self.classes)), 1.0, -1.0)
         size = np.bincount(labels, minlength=len(self.classes))[labels]
-        balance = np.sqrt(len(texts) / (len(self.classes) * size))[:, None]  # classes count alike
-        near, target = near * balance, target * balance
-        gram = near.T @ near + ridge * len(texts) * ((landmarks @ landmarks.T) + 1e-6 * np.eye(len(chosen)))
-        self.weights = (landmarks.T @ np.linalg.solve(gram, near.T @ target)).astype(np.float32)
+        balance = len(texts) / (len(self.classes) * size)  # classes count alike
+        gram = ridge * len(texts) * ((landmarks @ landmarks.T).astype(np.float64) + 1e-6 * np.eye(len(chosen)))
+        answer = np.zeros((len(chosen), len(self.classes)))
+        for i in range(0, len(texts), 64):  # a few texts at a time
+            near = (presences(texts[i : i + 64]) @ landmarks.T).astype(np.float64)
+            weighted = near * balance[i : i + 64, None]
+            gram += weighted.T @ near
+            answer += weighted.T @ np.where(labels[i : i + 64, None] == np.arange(len(self.classes)), 1.0, -1.0)
+        self.weights = (landmarks.T @ np.linalg.solve(gram, answer)).astype(np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """A language and a score from 0 to 1 for each text; ``und`` and 0 where it has no letter."""
@@ -100,25 +110,25 @@ def remainder(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = FIT_PER_CLASS) -> Model:
-    """Fit on at most ``per_class`` labelled texts of each language that are not held out.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = FIT_PER_CLASS, fit_texts: int = FIT_TEXTS) -> Model:
+    """Fit on different labelled texts that are not held out: of each language those with the smallest hashes of the text.
 
-    The sample is the rows with the smallest hash of the id; what reaches the driver is bounded by
-    ``per_class``, twice over, and MAX_CLASSES. Everything else about the operator covers all rows.
+    All languages are learned. The sample, which is all that reaches the driver, is at most ``per_class`` texts of a
+    language and ``fit_texts`` in all (but ``LEAST`` of each language); repeated texts count once, so neither
+    repeated rows nor repeated ids can flood or starve a language.
     """
-    eligible = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col) != HELD_OUT))
-    counts = eligible.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_CLASSES).collect()
-    if not counts:
+    eligible = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (remainder(id_col) != HELD_OUT)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("place"))
+    counts = eligible.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n"))
+    langs = counts.count()
+    if not langs:
         return Model([], [])
-    place = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, count in counts:
-        share = F.when(F.col(lang_col) == lang, int((1 << 30) * min(1.0, (per_class + 4 * per_class**0.5) / count))).otherwise(share)
-    taken: dict[str, list] = {}
-    for lang, text, _, _ in sorted(eligible.where(place < share).select(lang_col, text_col, place.alias("place"), id_col).collect(), key=lambda r: (r[2], str(r[3]), r[1])):
-        if len(taken.setdefault(lang, [])) < per_class and has_letter(text):
-            taken[lang].append(text)
-    return Model([t for x in taken.values() for t in x], [lang for lang, x in taken.items() for _ in x])
+    per_class = max(min(per_class, LEAST), min(per_class, fit_texts // langs))
+    # Texts below a hash that lets a few more than enough through; what is left is small, and ranked exactly.
+    share = F.least(F.lit(1.0), F.lit(1.1 * per_class + 8 * per_class**0.5 + 8) / F.col("n"))
+    near = eligible.join(F.broadcast(counts) if langs <= 10_000 else counts, "lang").where(F.pmod("place", F.lit(1 << 30)) < share * F.lit(1 << 30))
+    ranked = near.dropDuplicates(["lang", "place"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place")))
+    taken = sorted(ranked.where(F.col("rank") <= per_class).select("lang", "rank", "text").collect())
+    return Model([r["text"] for r in taken], [r["lang"] for r in taken])
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,11 +139,11 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     first. Other columns are ignored; an empty table gives no rows.
     """
     model = model or fit(docs, id_col, text_col)
-    weights, classes = model.weights, model.classes
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.classes))  # SLOTS floats a language
 
     def run(batches):
         scorer = Model([], [])
-        scorer.weights, scorer.classes = weights, classes
+        scorer.weights, scorer.classes = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)

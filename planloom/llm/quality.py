@@ -3,13 +3,15 @@
 Two multinomials over hashed n-grams are counted: the raw corpus (all documents) and the trusted target
 (documents labelled good). N-grams are single words and pairs of neighbouring word shapes (runs of
 capitals, small letters and digits as one sign each), so that words never met before still say how
-they are written. A document's score is the mean over its n-grams of log p_target - log p_raw. Every
-document is compared with one threshold, fixed from the labelled sample.
+they are written. A document's score is the mean over its n-grams of log p_target - log p_raw. Both are proper
+distributions over the buckets: the raw one with added counts, the target one with the raw one as its Dirichlet
+prior. Every document is compared with one threshold, fixed from the labelled sample.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from planloom.llm.common import SPACE, settled, space_words
 BUCKETS = 1 << 14
 #: At most so many labelled documents of each kind are used: those with the smallest hash of their id.
 SAMPLE, TRUSTED_PASS = 4000, 0.995
-SMOOTHING = 0.5
+#: Count added to each raw bucket, and the prior's weight in the target as a share of the target's n-grams.
+SMOOTHING, PRIOR = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "[#*$%&|<>]"
 
@@ -91,6 +94,18 @@ def _sample(labels: DataFrame, label_id: str, good: str) -> DataFrame:
     return labels.sparkSession.createDataFrame(list(once.items()), f"_labelled {kind}, _good boolean")
 
 
+def distributions(raw: list[int], target: list[int]) -> tuple[list[float], list[float]]:
+    """The two multinomials over the buckets; each sums up to one."""
+    p_raw = [(r + SMOOTHING) / (sum(raw) + SMOOTHING * len(raw)) for r in raw]
+    total, prior = sum(target), PRIOR * sum(target)
+    return p_raw, [(t + prior * p) / (total + prior) for t, p in zip(target, p_raw)]
+
+
+def ratio(raw: list[int], target: list[int]) -> tuple[float, ...]:
+    """log p_target - log p_raw of each bucket."""
+    return tuple(log(t / r) for r, t in zip(*distributions(raw, target)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", good: str = "quality") -> Model:
     """Count both multinomials (the raw one over all of ``docs``) and fix the threshold.
 
@@ -102,20 +117,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = _grams(with_words(marked, id_col, text_col, "_good"))
     # explode_outer: from explode, Spark infers a filter that would make all n-grams a second time
     counts = words.select("_good", F.explode_outer("_grams").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count(F.when(F.col("_good"), 1)).alias("target")).where("g IS NOT NULL").collect()  # BUCKETS rows
-    raw_all, target_all = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
-    if not target_all:
+    raw, target = [0] * BUCKETS, [0] * BUCKETS
+    for r in counts:
+        raw[r["g"]], target[r["g"]] = r["raw"], r["target"]
+    if not sum(target):
         return Model()
-    raw, target = {r["g"]: r["raw"] for r in counts}, {r["g"]: r["target"] for r in counts}
-    from math import log
-
-    weights = tuple(
-        log((target.get(g, 0) + SMOOTHING * target_all / raw_all * raw.get(g, 0) ** 0.5 + SMOOTHING) / (target_all + SMOOTHING * BUCKETS)) - log((raw.get(g, 0) + SMOOTHING * raw.get(g, 0) ** 0.5 + SMOOTHING) / (raw_all + SMOOTHING * BUCKETS))
-        for g in range(BUCKETS)
-    )
+    weights = ratio(raw, target)
     labelled = docs.select(id_col, text_col).join(sample, F.col(id_col) == F.col("_labelled"))
     # No filter here: it would be pushed into the scan, and each column it names made many times over.
-    scored = base_columns(_grams(with_words(labelled, id_col, text_col, "_good"))).select("_good", "base_failed", Model(weights).score().alias("score")).collect()  # the sample's rows
-    scored = [r for r in scored if not r["base_failed"]]
+    scored = base_columns(_grams(with_words(labelled, id_col, text_col, "_good"))).select(id_col, "_good", "base_failed", Model(weights).score().alias("score"))
+    # One row for each id: of rows with the same id, however many, the least score counts.
+    scored = scored.groupBy(id_col, "_good").agg(F.min(F.when(~F.col("base_failed"), F.col("score"))).alias("score")).collect()  # 2 * SAMPLE rows
+    scored = [r for r in scored if r["score"] is not None]
     good_scores = sorted(r["score"] for r in scored if r["_good"])
     if not good_scores:
         return Model(weights, float("-inf"))

@@ -1,12 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
 import itertools
+import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from planloom.llm import decontaminate, html_text, licenses, simhash
+from planloom.llm import decontaminate, html_text, langid, licenses, quality, simhash
 from planloom.llm.common import materialize
 
 DATA = "/root/testdata"
@@ -115,3 +117,48 @@ def test_spans_of_repeated_ids_and_clashing_names(spark):
     assert decontaminate.remove_contaminated(docs, bench).count() == 3
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_every_language_is_learned(spark):
+    """More languages than once fitted, one of them with most of the rows under one id and one text."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдежзиклмнопрстуфхцчшыья"
+    vocabulary = {f"l{k:03}": ["".join(rng.choices(letters, k=5)) for _ in range(12)] for k in range(230)}
+    rows, held = [(i * 16 + 1, " ".join(rng.choices(w, k=9)), lang) for lang, w in vocabulary.items() for i in range(6)], []
+    rows += [(1, "one text of many rows and of one id", "zz")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, per_class=20)
+    assert model.classes == sorted({*vocabulary, "zz"})
+    held = [(lang, " ".join(rng.choices(w, k=9))) for lang, w in vocabulary.items()]
+    got = model.predict([t for _, t in held])[0]
+    assert sum(a == b for a, (b, _) in zip(got, held)) >= 0.95 * len(held)
+
+
+def test_language_model_is_ridge_regression(spark):
+    """With every text a landmark, Nystroem is exact: the scores are those of plain kernel ridge regression."""
+    texts = ["the cat sat on the mat", "a dog and a cat", "der Hund und die Katze", "ein Haus am See", "le chat et le chien"]
+    langs = ["en", "en", "de", "de", "fr"]
+    model = langid.Model(texts, langs, ridge=0.1)
+    x = langid.presences(texts).astype(np.float64)
+    kernel, classes = x @ x.T, sorted(set(langs))
+    balance = np.diag([len(texts) / (len(classes) * langs.count(c)) for c in langs])
+    target = np.array([[1.0 if c == k else -1.0 for k in classes] for c in langs])
+    # least squares with weights, in the landmarks' span: (K B K + rn (K + eps)) a = K B y
+    alpha = np.linalg.solve(kernel @ balance @ kernel + 0.1 * len(texts) * (kernel + 1e-6 * np.eye(5)), kernel @ balance @ target)
+    new = langid.presences(["the dog and the house", "das Haus und der Hund"])
+    assert np.allclose(new @ model.weights, new.astype(np.float64) @ x.T @ alpha, atol=1e-4)
+
+
+def test_quality_ratio_is_of_two_distributions():
+    raw, target = [5, 0, 20, 1], [3, 0, 0, 1]
+    p, q = quality.distributions(raw, target)
+    assert sum(p) == pytest.approx(1) and sum(q) == pytest.approx(1) and min(p + q) > 0
+    assert quality.ratio(raw, target) == pytest.approx([np.log(b / a) for a, b in zip(p, q)])
+
+
+def test_quality_fit_takes_one_score_for_each_id(spark):
+    words = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, words)] * 3000 + [(2, "x " * 90)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    assert len(model.weights) == quality.BUCKETS and all(r.kept for r in quality.judge(docs.where("doc_id = 1").limit(3), model).collect())
