@@ -3,9 +3,11 @@
 Token shares p of the sources are raised to an exponent a and normalised. a = 1 keeps the corpus as it
 is, a = 0 gives all sources the same weight. The exponent is bisected (several points a round, each
 round one aggregate over the sources) for the flattest mix within the repetition limit, or for a target
-entropy. Weights are realised as block permutations: each source is dealt into hashed blocks, a pass is a
-permutation of its blocks, and a source gets as many whole passes and blocks of one more as its budget
-of tokens holds. No step gathers a source in one task: the sums per block are partial aggregates.
+entropy. Weights are realised as block permutations: each source is dealt into hashed blocks, each pass is a
+permutation of them of its own, and a source gets as many whole passes and blocks of one more as its budget
+of tokens holds. A block's place in its source's passes, as a share of them, is its place in the mix, so each
+stretch of the mix holds the sources at their weights. No step gathers a source in one task: sums per block are
+partial aggregates, and only the table of blocks is ordered.
 """
 
 from __future__ import annotations
@@ -62,9 +64,10 @@ def exponent_for(shares: DataFrame, max_passes: float = MAX_PASSES, entropy: flo
 
 
 def block_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: int | None = None, max_passes: float = MAX_PASSES, entropy: float | None = None, blocks: int = BLOCKS, seed: int = 17) -> DataFrame:
-    """(source, block, share, weight, passes, copies): how often each block of each source is taken.
+    """(source, block, share, weight, passes, copies, turns): how often each block of each source is taken, and where.
 
-    One row for each source and block of it that has rows; ``blocks`` bounds them for each source.
+    One row for each source and block of it that has rows; ``blocks`` bounds them for each source. ``turns`` are
+    the stretches (start, end) of the mix, from 0 to 1, that the block's copies fill, in order.
     """
     sums = _placed(docs, id_col, source_col, blocks, seed).groupBy("source", "block").agg(F.sum(count_tokens(F.col(text_col))).alias("tokens"))
     sums = materialize(sums, "blocks")
@@ -79,12 +82,17 @@ def block_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     targets = shares.withColumn("weight", weight).withColumn("passes", weight * F.lit(size) / F.col("total"))
     # The largest source's passes are 1 up to rounding: what is within a millionth of a whole number is whole.
     whole_passes = F.floor(F.col("passes") + 1e-6)
-    # Blocks in permuted order; one more pass takes those whose middle lies within what is left of the budget.
-    ordered = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
-    placed = sums.join(targets, "source").withColumn("before", F.sum("tokens").over(ordered) - F.col("tokens"))
-    left = (F.col("passes") - whole_passes) * F.col("total")
-    copies = (whole_passes + F.when(F.col("before") + F.col("tokens") / 2 <= left, 1).otherwise(0)).cast("long")
-    return materialize(placed.select("source", "block", "share", "weight", "passes", copies.alias("copies")), "copies")
+    # A pass is the blocks in an order of its own; the last one takes those whose middle lies within what is left of the budget.
+    placed = sums.join(targets.withColumn("whole", whole_passes.cast("long")), "source")
+    turns = placed.withColumn("pass", F.explode(F.expr("sequence(0L, whole)")))
+    ordered = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed + 1), "pass", "source", "block"), "block")
+    turns = turns.withColumn("before", F.sum("tokens").over(ordered) - F.col("tokens"))
+    left = (F.col("passes") - F.col("whole")) * F.col("total")
+    taken = (F.col("pass") < F.col("whole")) | (F.col("before") + F.col("tokens") / 2 <= left)
+    start = (F.col("pass") * F.col("total") + F.col("before")) / (F.col("passes") * F.col("total"))
+    positions = F.array_sort(F.collect_list(F.when(taken, F.struct(start.alias("start"), (start + F.col("tokens") / (F.col("passes") * F.col("total"))).alias("end")))))
+    out = turns.groupBy("source", "block").agg(F.first("share").alias("share"), F.first("weight").alias("weight"), F.first("passes").alias("passes"), positions.alias("turns"))
+    return materialize(out.select("source", "block", "share", "weight", "passes", F.size("turns").cast("long").alias("copies"), "turns"), "copies")
 
 
 def _placed(docs: DataFrame, id_col: str, source_col: str, blocks: int, seed: int) -> DataFrame:
@@ -95,18 +103,19 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, blocks: int, seed: in
 
 
 def _joined(placed: DataFrame, taken: DataFrame) -> DataFrame:
-    taken = taken.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "share", "weight", "passes", "copies")
+    taken = taken.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "share", "weight", "passes", "copies", "turns")
     if taken.count() <= BROADCAST_ROWS:
         taken = F.broadcast(taken)
     return placed.join(taken, (F.col("source") == F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", blocks: int = BLOCKS, seed: int = 17, **limits) -> DataFrame:
-    """(``id_col``, source, n_tokens, block, share, weight, passes, copies): how often each row is taken.
+    """(``id_col``, source, n_tokens, block, share, weight, passes, copies, positions): how often each row is taken, and where.
 
     ``weight`` is the source's target share of the mix and ``passes`` the times its tokens fit in its
     budget. ``copies`` is the whole passes, plus one for rows of the blocks that the last, partial pass
-    holds, in the order of the source's block permutation. Without ``budget`` (tokens of the mix) the
+    holds, in the order of that pass's block permutation. ``positions`` are the row's places in the mix, from 0 to 1,
+    one for each copy: rows of a block lie in its stretches by a hash of their id. Without ``budget`` (tokens of the mix) the
     largest source gets just one pass, so every row is taken at least once. Realised tokens differ from
     a source's budget by at most half a block. Rows with a null source form a source of their own, named by
     the empty string; rows with equal or null ids share a block; null and empty texts count one token.
@@ -115,13 +124,25 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     taken = block_copies(docs, id_col, source_col, text_col, blocks=blocks, seed=seed, **limits)
     placed = _placed(docs.select(*{id_col: 0, source_col: 0, text_col: 0}), id_col, source_col, blocks, seed)
     placed = placed.select(F.col(id_col), "source", count_tokens(F.col(text_col)).alias("n_tokens"), "block")
-    return _joined(placed, taken).select(id_col, "source", "n_tokens", "block", "share", "weight", "passes", "copies")
+    return _joined(placed, taken).select(id_col, "source", "n_tokens", "block", "share", "weight", "passes", "copies", _positions(id_col, seed).alias("positions"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", blocks: int = BLOCKS, seed: int = 17, **limits) -> DataFrame:
-    """The rows of ``docs``, each repeated as often as ``plan`` takes it (not at all, if that is zero times)."""
+def _positions(id_col: str, seed: int) -> Column:
+    """Of each turn of a row's block, the row's place within: another one each time."""
+    part = lambda i: F.pmod(F.xxhash64(F.lit(seed + 2), F.col(id_col), i), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.transform("turns", lambda t, i: t["start"] + (t["end"] - t["start"]) * part(i))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", blocks: int = BLOCKS, seed: int = 17, in_order: bool = False, **limits) -> DataFrame:
+    """The rows of ``docs``, each repeated as often as ``plan`` takes it (not at all, if that is zero times).
+
+    With ``in_order`` they are sorted by their positions in the mix, which moves them all once; written as files,
+    the mix then reads in the order of the block permutations.
+    """
     taken = block_copies(docs, id_col, source_col, text_col, blocks=blocks, seed=seed, **limits)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"))
     joined = _joined(_placed(whole, "_id", "_source", blocks, seed), taken)
-    repeated = joined.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"))
+    repeated = joined.select("_row", F.explode(_positions("_id", seed)).alias("_position"))
+    if in_order:
+        repeated = repeated.orderBy("_position", F.xxhash64(F.lit(seed + 3), "_row"))
     return repeated.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

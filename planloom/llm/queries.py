@@ -55,8 +55,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = resharding.reshard(table(spark, sf_dir, "documents"))
-    return layout.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    found = resharding.rewritten(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Rows lie in old shards; new shards get equal capacities in bytes. A flow from ol
 which staying costs nothing and a moved byte costs one, gives the block transfers that move the fewest
 bytes. The flow runs over shards, so it is a small problem on the driver whatever the number of rows.
 It is realised by running sums over hashed blocks: a block goes whole to the shard whose stretch of its
-old shard's bytes it falls in, and only blocks that a boundary cuts are ordered row by row. Large rows are
-placed first, and smaller ones make good what the larger ones miss.
+old shard's bytes it falls in, and only blocks that a boundary cuts are ordered row by row. A shard with
+too much gives its small rows first, and the smallest ones make good what the others miss: no shard both
+gives and takes, so the bytes moved are the flow's, up to a few small rows.
 """
 
 from __future__ import annotations
@@ -15,18 +16,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from planloom.llm.common import materialize
+from planloom.llm.common import materialize, work_path
 
 SHARDS, OLD_SHARDS, BLOCK_ROWS = 16, 12, 50_000
 #: Rows are placed in tiers by size: from the first number up, then from the next, and so on.
-TIERS = (16_384, 2_048, 256)
+TIERS = (32_768, 8_192, 4_096, 2_048, 1_024, 512, 256)
+#: Of what smaller rows could move, the share that larger rows count on; the rest is there to correct.
+SLACK = 0.9
+CHOICE = 64
 
 
-def equal_capacities(total: int, shards: int) -> list[int]:
-    """Capacities that differ by at most one byte and sum up to ``total``."""
-    return [total // shards + (k < total % shards) for k in range(shards)]
+def equal_capacities(total: int, shards: int, giants: dict[int, int] | None = None) -> list[int]:
+    """Capacities that differ by at most one byte and sum up to ``total``; shards with a row over that get its size."""
+    giants = {k: x for k, x in sorted((giants or {}).items(), key=lambda g: -g[1])[: shards - 1]}
+    rest = iter([(total - sum(giants.values())) // (shards - len(giants)) + (k < (total - sum(giants.values())) % (shards - len(giants))) for k in range(shards - len(giants))])
+    return [giants[k] if k in giants else next(rest) for k in range(shards)]
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost=lambda i, j: int(i != j)) -> dict[tuple[int, int], int]:
@@ -108,6 +115,31 @@ def _place(rows: DataFrame, blocks: DataFrame, stretches: list[tuple[int, int, i
     return whole.unionByName(cut)
 
 
+def _evened(placed: DataFrame, capacities: list[int]) -> DataFrame:
+    """``placed`` with a few rows of shards over their capacity moved to those below it, where small rows were too few.
+
+    Of each shard that is over, one row for each ``CHOICE``-th of the excess is looked at: shards times CHOICE in all.
+    """
+    load = dict.fromkeys(range(len(capacities)), 0) | {j: x for j, x in placed.groupBy("shard").agg(F.sum("size")).collect()}
+    over = {j: x - capacities[j] for j, x in load.items() if x > capacities[j]}
+    room = {j: capacities[j] - x for j, x in load.items() if x < capacities[j]}
+    if not over or not room:
+        return placed
+    table = F.broadcast(placed.sparkSession.createDataFrame(list(over.items()), "shard int, over long"))
+    near = placed.join(table, "shard").where("size <= over").groupBy("shard", F.floor(F.col("size") * CHOICE / F.col("over")).alias("part")).agg(F.max(F.struct("size", "key")).alias("r"))
+    moves = []
+    for j, (x, key) in sorted(((r[0], r[1]) for r in near.select("shard", "r").collect()), key=lambda c: -c[1][0]):
+        k = max(room, key=room.get)
+        if x <= over[j] and x <= room[k]:
+            moves.append((key, k))
+            over[j] -= x
+            room[k] -= x
+    if not moves:
+        return placed
+    other = F.broadcast(placed.sparkSession.createDataFrame(moves, "key long, other int"))
+    return placed.join(other, "key", "left").withColumn("shard", F.coalesce("other", "shard")).drop("other")
+
+
 def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(``id_col``, size, text_crc32, old_shard, shard, slot) for every row of ``docs``.
 
@@ -119,11 +151,20 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: str | None = None,
     rows gaplessly from 0. Rows with equal ids may part; null ids are one more value to hash. Other columns
     are ignored; an empty table gives no rows.
     """
+    return _layout(_rows(docs, old_shard, id_col, text_col), shards, capacities, block_rows).select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot")
+
+
+def _rows(docs: DataFrame, old_shard: str | None, id_col: str, text_col: str, *more) -> DataFrame:
+    """(id, size, text_crc32, old_shard, key) and ``more``, written: ``key`` tells apart rows that agree in all else."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     old = F.col(old_shard).cast("int") if old_shard else F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(OLD_SHARDS)).cast("int")
-    # `key` tells rows apart that agree in id and text by their place in the scan, written once here.
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.alias("old_shard"), F.monotonically_increasing_id().alias("key"))
-    rows = materialize(rows, "rows")
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.alias("old_shard"), F.monotonically_increasing_id().alias("key"), *more)
+    return materialize(rows, "rows")
+
+
+def _layout(written: DataFrame, shards: int, capacities: list[int] | None, block_rows: int) -> DataFrame:
+    """The columns of ``_rows`` with shard and slot."""
+    rows = written.select("id", "size", "text_crc32", "old_shard", "key")
     count = rows.count()
     per_shard = max(64, -(-count // (block_rows * OLD_SHARDS)))
     tier = sum((F.col("size") < least).cast("int") for least in TIERS)
@@ -132,25 +173,34 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: str | None = None,
     sizes = {(r[0], r[1]): r[2] for r in blocks.groupBy("tier", "old_shard").agg(F.sum("bytes")).collect()}  # a row for each tier and old shard
     names = range(max((i for _, i in sizes), default=-1) + 1)
     supply = [sum(x for (_, a), x in sizes.items() if a == i) for i in names]
-    flow = min_cost_flow(supply, capacities or equal_capacities(sum(supply), shards))
-    room = len(capacities or range(shards))
-    load, seen = [0] * room, dict.fromkeys(names, 0)
+    if capacities is None:
+        giants = rows.where(F.col("size") > sum(supply) // shards).groupBy("old_shard").agg(F.max("size")).collect()  # fewer than ``shards`` rows are so large
+        capacities = equal_capacities(sum(supply), shards, {i: x for i, x in giants if i < shards})
+    flow = min_cost_flow(supply, capacities)
+    room = len(capacities)
+    # What each old shard has to give away, and what each new one may still take. Shards past the new ones give all.
+    out_ = {i: sum(x for (a, j), x in flow.items() if a == i and j != i) for i in names}
+    want = [sum(x for (a, b), x in flow.items() if b == j and a != j) for j in range(room)]
     moved = []
     for t in sorted({t for t, _ in sizes}):
         here = {i: x for (k, i), x in sizes.items() if k == t}
+        below = {i: sum(x for (k, a), x in sizes.items() if k > t and a == i) for i in here}
+        give = {i: x if i >= room else int(min(x, max(0, out_[i] - SLACK * below[i]))) for i, x in here.items()}
+        short = sum(give.values()) - sum(want)
+        takers = [j for j in range(room) if want[j]] or [max(range(room), key=lambda j: capacities[j])]
+        demand = [max(0, w) + (-(-short // len(takers)) if short > 0 and j in takers else 0) for j, w in enumerate(want)]
+        need = min_cost_flow([give.get(i, 0) for i in names], demand, lambda i, j: int(i != j))
         for i, x in here.items():
-            seen[i] += x
-        # What each new shard should hold by now, less what it does: the tier's own flow makes that good.
-        demand = [max(0, -int(-sum(x * (seen[i] / supply[i]) for (i, k), x in flow.items() if k == j) // 1) - load[j]) for j in range(room)]
-        demand[0] += max(0, sum(here.values()) - sum(demand))
-        tier_flow = min_cost_flow([here.get(i, 0) for i in names], demand)
-        done = materialize(_place(rows.where(F.col("tier") == t), blocks.where(F.col("tier") == t), _stretches(tier_flow, here)), "moved")
-        for j, x in done.groupBy("shard").agg(F.sum("size")).collect():  # a row for each new shard
-            load[j] += x
+            if x > give[i]:
+                need[i, i] = need.get((i, i), 0) + x - give[i]
+        done = materialize(_place(rows.where(F.col("tier") == t), blocks.where(F.col("tier") == t), _stretches(need, here)), "moved")
+        for i, j, x in done.where("shard != old_shard").groupBy("old_shard", "shard").agg(F.sum("size")).collect():  # at most old shards times new shards rows
+            out_[i] = max(0, out_[i] - x)
+            want[j] = max(0, want[j] - x)
         moved.append(done)
     if not moved:
-        return rows.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
-    placed = reduce(DataFrame.unionByName, moved)
+        return rows.select("id", "size", "text_crc32", "old_shard", "key", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
+    placed = _evened(reduce(DataFrame.unionByName, moved), capacities)
     # Slots: a running count over (shard, old shard, tier, block), then the row's number within.
     parts = ["shard", "old_shard", "tier", "block"]
     groups = placed.groupBy(*parts).agg(F.count("*").alias("n"))
@@ -158,20 +208,38 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: str | None = None,
     bases = groups.select(*[F.col(c).alias(f"g_{c}") for c in parts], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy(*parts).orderBy("key")) - 1
     numbered = placed.withColumn("number", number).join(bases, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"g_{c}") for c in parts]))
-    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("number")).alias("slot"))
+    return numbered.select("id", "size", "text_crc32", "old_shard", "key", "shard", (F.col("base") + F.col("number")).cast("long").alias("slot"))
 
 
-def rewrite(docs: DataFrame, layout: DataFrame, old_path: str | None, new_path: str, id_col: str = "doc_id") -> list[int]:
-    """Write the shards that ``layout`` changes to ``new_path``/shard=k and return their numbers.
+def rewrite(docs: DataFrame, new_path: str, shards: int = SHARDS, old_shard: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None, block_rows: int = BLOCK_ROWS, all_shards: bool = False) -> list[int]:
+    """``reshard`` and write the shards that it changes to ``new_path``/shard=k; their numbers are returned.
 
-    A shard that keeps just the rows it had stays where it is at ``old_path`` and is not written;
-    without ``old_path`` every shard is. Ids must be distinct.
+    A shard that keeps just the rows it had stays where it is and is not written, unless ``all_shards``. Files hold
+    the rows of ``docs`` in whole, as the struct ``row``, in the order of ``slot``; a shard is written by many tasks.
+    Ids may be null or repeated. Of an empty table nothing is written.
     """
-    changed = layout.groupBy("shard").agg(F.max((F.col("shard") != F.col("old_shard")).cast("int")).alias("gains"))
-    lost = layout.where("shard != old_shard").select(F.col("old_shard").alias("shard")).distinct()
-    touched = changed.where("gains = 1" if old_path else "true").select("shard").union(lost if old_path else lost.limit(0)).distinct()
-    numbers = sorted(r[0] for r in touched.collect())  # shard numbers
-    target = layout.where(F.col("shard").isin(numbers)).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    out = docs.join(target, F.col(id_col) == F.col("_id")).drop("_id").withColumnRenamed("_shard", "shard")
-    out.repartition("shard").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(new_path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    written = _rows(docs, old_shard, id_col, text_col, whole)
+    layout = materialize(_layout(written, shards, capacities, block_rows).select("key", "old_shard", "shard", "slot"), "layout")
+    ends = layout.select(F.explode(F.array("old_shard", "shard")).alias("k")) if all_shards else layout.where("shard != old_shard").select(F.explode(F.array("old_shard", "shard")).alias("k"))
+    numbers = sorted(r[0] for r in ends.distinct().collect() if r[0] < (len(capacities) if capacities else shards))  # shard numbers
+    if numbers:
+        out = written.select("key", "row").join(layout.where(F.col("shard").isin(numbers)).select("key", "shard", "slot"), "key").drop("key")
+        spread(out).write.partitionBy("shard").parquet(new_path)
     return numbers
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a shard in ranges of slots, one for each task."""
+    return rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+
+
+def rewritten(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(``id_col``, size, text_crc32, shard, slot) of every row, taken from the files of all new shards, written and read back."""
+    path = work_path(docs.sparkSession, "shards")
+    data = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
+    kind = docs.schema
+    if not rewrite(docs, path, shards, id_col=id_col, text_col=text_col, all_shards=True, **how):
+        return docs.limit(0).select(F.col(id_col), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    back = docs.sparkSession.read.schema(StructType([StructField("row", kind), StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    return back.select(F.col("row")[id_col].alias(id_col), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), "shard", "slot")

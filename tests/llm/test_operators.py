@@ -393,6 +393,14 @@ def test_mixing_meets_its_limits(spark):
     for s in tokens:
         assert taken[s] == pytest.approx(passes[s] * tokens[s], rel=0.03)
         assert taken[s] / sum(taken.values()) == pytest.approx(weight[s], rel=0.03)
+    assert all(len(r.positions) == r.copies and 0 <= min(r.positions) <= max(r.positions) < 1.01 for r in got)
+    for k in range(4):  # each quarter of the mix holds the sources at their weights
+        part = collections.Counter()
+        for r in got:
+            part[r.source] += r.n_tokens * sum(k / 4 <= p < (k + 1) / 4 for p in r.positions)
+        assert all(part[s] / sum(part.values()) == pytest.approx(weight[s], rel=0.1) for s in weight)
+    placed = [(p, r.doc_id) for r in got for p in r.positions]
+    assert [r.doc_id for r in mixing.mix(docs, max_passes=3.0, in_order=True).collect()] == [d for _, d in sorted(placed)]
     mixed = mixing.mix(docs.withColumn("block", F.lit("z")), max_passes=3.0)
     assert mixed.columns == ["doc_id", "text", "source", "block"]
     assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({r.doc_id: r.copies for r in got})
@@ -467,12 +475,44 @@ def test_resharding_odd_rows(odd, empty):
 
 
 def test_rewriting_touches_only_what_changes(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * 9, 0 if i < 100 else 1 if i < 160 else 2) for i in range(200)], "doc_id bigint, text string, old int")
-    layout = resharding.reshard(docs, shards=3, old_shard="old", capacities=[600, 600, 800])
-    assert resharding.rewrite(docs, layout, "old/place", str(tmp_path / "n")) == [0, 2]
+    docs = spark.createDataFrame([(i // 2, "x" * 9, 0 if i < 100 else 1 if i < 160 else 2) for i in range(200)], "doc_id bigint, text string, old int")
+    assert resharding.rewrite(docs, str(tmp_path / "n"), 3, "old", capacities=[600, 600, 800]) == [0, 2]
     back = spark.read.parquet(str(tmp_path / "n"))
-    assert collections.Counter(r.shard for r in back.collect()) == {0: 60, 2: 80}
-    assert resharding.rewrite(docs, layout, None, str(tmp_path / "m")) == [0, 1, 2] and spark.read.parquet(str(tmp_path / "m")).count() == 200
+    assert collections.Counter(r.shard for r in back.collect()) == {0: 60, 2: 80} and back.select("row.*").columns == docs.columns
+    assert resharding.rewrite(docs, str(tmp_path / "m"), 3, "old", capacities=[600, 600, 800], all_shards=True) == [0, 1, 2] and spark.read.parquet(str(tmp_path / "m")).count() == 200
+
+
+@has_data
+@pytest.mark.parametrize("shards, old", [(16, 12), (4, 4), (5, 9), (1, 3)])
+def test_layout_moves_the_least(spark, odd, shards, old):
+    """Bytes moved by the layout against what cannot stay, and the shards' sizes against equal ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (F.pow(F.rand(5), 2) * old).cast("int").alias("old")).unionByName(odd.where("text IS NULL OR length(text) < 1000").select("doc_id", "text", F.lit(0).alias("old")))
+    docs = common.materialize(docs, "old")
+    rows = resharding.reshard(docs, shards=shards, old_shard="old").collect()
+    check_layout(rows, texts(docs), shards)
+    sizes, supply = collections.Counter(), collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+        supply[r.old_shard] += r.size
+    total = sum(sizes.values())
+    least = brute_cost([supply[i] for i in range(old)], resharding.equal_capacities(total, shards))
+    assert sum(r.size for r in rows if r.shard != r.old_shard) <= least + 0.005 * total
+    assert max(sizes.values()) - min(sizes[k] for k in range(shards)) <= 0.02 * total / shards
+
+
+def test_a_giant_row_leaves_the_other_shards_equal(spark):
+    docs = spark.createDataFrame([(0, "x" * 50_000)] + [(i, "y" * (i % 97)) for i in range(1, 2000)], "doc_id bigint, text string")
+    sizes = collections.Counter()
+    for r in resharding.reshard(docs, shards=6).collect():
+        sizes[r.shard] += r.size
+    rest = sorted(sizes.values())[:-1]
+    assert len(rest) == 5 and rest[-1] - rest[0] <= 0.03 * rest[0] and max(sizes.values()) <= 50_001 + 300
+
+
+def test_rewritten_rows_are_read_back(spark, odd, empty):
+    rows = resharding.rewritten(odd).collect()
+    check_layout(rows, texts(odd), 16)
+    assert resharding.rewritten(empty).count() == 0
 
 
 # -- 9 ---------------------------------------------------------------------------------------------
