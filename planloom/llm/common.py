@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planloom.sources.work import discard, shared_dir, work_path
 from planloom.sources.work import written as materialize
 
-__all__ = ["SPACE", "ascii_lower", "discard", "map_batches", "materialize", "row_keys", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "work_path"]
+__all__ = ["SPACE", "ascii_lower", "discard", "map_batches", "materialize", "row_keys", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "with_places", "work_path"]
 
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -42,6 +42,18 @@ def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.xxhash64(text, row_id, text.isNull(), row_id.isNull()).alias("k1"), F.xxhash64(F.lit(1), row_id, text, text.isNull(), row_id.isNull()).alias("k2")
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """(key, row): each row in whole and where it lies, as (hash of the file's name, row of the file).
+
+    A plain scan is used as it is, so nothing is copied; anything else is written first and scanned from there.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and docs.inputFiles() and "_metadata" not in docs.columns
+    whole = docs if plain else materialize(docs.select(row), "rows")
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias("key")
+    return whole.select(key, row if plain else "row")
+
+
 _shipped: set[str] = set()
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from planloom.llm.common import materialize, work_path
+from planloom.llm.common import materialize, with_places, work_path
 
 SHARDS, OLD_SHARDS, BLOCK_ROWS = 16, 12, 50_000
 #: Rows are placed in tiers by size: from the first number up, then from the next, and so on.
@@ -136,7 +136,7 @@ def _evened(placed: DataFrame, capacities: list[int]) -> DataFrame:
             room[k] -= x
     if not moves:
         return placed
-    other = F.broadcast(placed.sparkSession.createDataFrame(moves, "key long, other int"))
+    other = F.broadcast(placed.sparkSession.createDataFrame(moves, "key struct<f: long, i: long>, other int"))
     return placed.join(other, "key", "left").withColumn("shard", F.coalesce("other", "shard")).drop("other")
 
 
@@ -151,20 +151,19 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old_shard: str | None = None,
     rows gaplessly from 0. Rows with equal ids may part; null ids are one more value to hash. Other columns
     are ignored; an empty table gives no rows.
     """
-    return _layout(_rows(docs, old_shard, id_col, text_col), shards, capacities, block_rows).select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot")
+    rows = _rows(with_places(docs), old_shard, id_col, text_col)
+    return _layout(rows, shards, capacities, block_rows).select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def _rows(docs: DataFrame, old_shard: str | None, id_col: str, text_col: str, *more) -> DataFrame:
-    """(id, size, text_crc32, old_shard, key) and ``more``, written: ``key`` tells apart rows that agree in all else."""
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    old = F.col(old_shard).cast("int") if old_shard else F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(OLD_SHARDS)).cast("int")
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.alias("old_shard"), F.monotonically_increasing_id().alias("key"), *more)
-    return materialize(rows, "rows")
+def _rows(places: DataFrame, old_shard: str | None, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, text_crc32, old_shard, key) of each row, written: ``key`` is its place."""
+    row_id, data = F.col("row")[id_col], F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
+    old = F.col("row")[old_shard].cast("int") if old_shard else F.pmod(F.xxhash64(F.lit(3), row_id), F.lit(OLD_SHARDS)).cast("int")
+    return materialize(places.select(row_id.alias("id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.alias("old_shard"), "key"), "rows")
 
 
-def _layout(written: DataFrame, shards: int, capacities: list[int] | None, block_rows: int) -> DataFrame:
+def _layout(rows: DataFrame, shards: int, capacities: list[int] | None, block_rows: int) -> DataFrame:
     """The columns of ``_rows`` with shard and slot."""
-    rows = written.select("id", "size", "text_crc32", "old_shard", "key")
     count = rows.count()
     per_shard = max(64, -(-count // (block_rows * OLD_SHARDS)))
     tier = sum((F.col("size") < least).cast("int") for least in TIERS)
@@ -215,25 +214,19 @@ def rewrite(docs: DataFrame, new_path: str, shards: int = SHARDS, old_shard: str
     """``reshard`` and write the shards that it changes to ``new_path``/shard=k; their numbers are returned.
 
     A shard that keeps just the rows it had stays where it is and is not written, unless ``all_shards``. Files hold
-    the rows of ``docs`` in whole, as the struct ``row``, in the order of ``slot``; a shard is written by many tasks.
-    Ids may be null or repeated. Of an empty table nothing is written.
+    the rows of ``docs`` in whole, as the struct ``row``, each file in the order of ``slot``; a shard is written by
+    many tasks, so none holds it whole. Ids may be null or repeated. Of an empty table nothing is written.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    written = _rows(docs, old_shard, id_col, text_col, whole)
-    layout = materialize(_layout(written, shards, capacities, block_rows).select("key", "old_shard", "shard", "slot"), "layout")
+    places = with_places(docs)
+    layout = materialize(_layout(_rows(places, old_shard, id_col, text_col), shards, capacities, block_rows).select("key", "old_shard", "shard", "slot"), "layout")
     ends = layout.select(F.explode(F.array("old_shard", "shard")).alias("k")) if all_shards else layout.where("shard != old_shard").select(F.explode(F.array("old_shard", "shard")).alias("k"))
     numbers = sorted(r[0] for r in ends.distinct().collect() if r[0] < (len(capacities) if capacities else shards))  # shard numbers
     if numbers:
-        out = written.select("key", "row").join(layout.where(F.col("shard").isin(numbers)).select("key", "shard", "slot"), "key").drop("key")
-        spread(out).write.partitionBy("shard").parquet(new_path)
+        out = places.join(layout.where(F.col("shard").isin(numbers)).select("key", "shard", "slot"), "key").drop("key")
+        out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path)
     return numbers
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a shard in ranges of slots, one for each task."""
-    return rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-
-
 def rewritten(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(``id_col``, size, text_crc32, shard, slot) of every row, taken from the files of all new shards, written and read back."""
     path = work_path(docs.sparkSession, "shards")
