@@ -222,7 +222,8 @@ def rewrite(docs: DataFrame, new_path: str, shards: int = SHARDS, old_shard: str
     ends = layout.select(F.explode(F.array("old_shard", "shard")).alias("k")) if all_shards else layout.where("shard != old_shard").select(F.explode(F.array("old_shard", "shard")).alias("k"))
     numbers = sorted(r[0] for r in ends.distinct().collect() if r[0] < (len(capacities) if capacities else shards))  # shard numbers
     if numbers:
-        out = places.join(layout.where(F.col("shard").isin(numbers)).select("key", "shard", "slot"), "key").drop("key")
+        # The layout has a row for each row of the table: it is never small enough to be sent to every task.
+        out = places.join(layout.where(F.col("shard").isin(numbers)).select("key", "shard", "slot").hint("merge"), "key").drop("key")
         out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path)
     return numbers
 

@@ -497,7 +497,7 @@ def test_layout_moves_the_least(spark, odd, shards, old):
     total = sum(sizes.values())
     least = brute_cost([supply[i] for i in range(old)], resharding.equal_capacities(total, shards))
     assert sum(r.size for r in rows if r.shard != r.old_shard) <= least + 0.005 * total
-    assert max(sizes.values()) - min(sizes[k] for k in range(shards)) <= 0.02 * total / shards
+    assert max(sizes.values()) - min(sizes[k] for k in range(shards)) <= 0.05 * total / shards  # 1,000 rows of 2.5 kB
 
 
 def test_a_giant_row_leaves_the_other_shards_equal(spark):
