@@ -1,12 +1,13 @@
 """Licence scans with DataFrame functions only.
 
-Texts are cut into paragraphs at line ends. A sparse logistic regression over word n-grams names the
+Texts are cut into paragraphs at line ends, but for those within a hard-wrapped sentence. A sparse logistic regression over word n-grams names the
 licence family of a paragraph. Its vocabulary holds only n-grams with an anchor word (a word that the
 licence texts use and ordinary prose does not), so a paragraph without anchors has the score of the empty
 paragraph, which is `none`; such paragraphs, and texts without any, are left out by a plain substring test
-before words are made. Scores are scaled by a temperature fitted on left-out training paragraphs; below
-the probability that separated these, a paragraph is `unknown`. A family is confirmed if one of
-its templates is covered by the paragraph's word 3-grams (or, for a long template, the paragraph by it).
+before words are made. Scores are scaled by a temperature, and two thresholds say what is `none` and what is
+`unknown`: all three are fitted on templates that the scoring model has not seen in any form. A predicted family is
+confirmed if one of its templates is covered by the paragraph's word 3-grams (or, for a long template, the
+paragraph by it).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm.common import ascii_lower, split_words
+from planloom.llm.common import ascii_lower, settled, split_words
 
 #: Sentences of well-known licences and their usual notices (fixed values).
 TEMPLATES: dict[str, list[str]] = {
@@ -44,6 +45,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "Licensed under the GNU GPL version 2.",
+        "Distributed under the terms of the GPL.",
+        "Released under the GPL v3 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "LGPL": [
@@ -122,12 +125,22 @@ OTHER: list[str] = [
     "Prices include delivery, and orders are shipped within two days.",
     "The mozilla of the story is a lizard that lives by the sea.",
     "The public domain of the king reached to the northern sea.",
+    "A book on copyright law and the work of its authors lay on the desk.",
+    "The museum holds the copyright in the photographs of the exhibition.",
+    "Er kam mit dem Zug nach Hause und sprach mit seiner Mutter.",
+    "Mit der Zeit wurde das Wetter besser, und wir gingen mit den Kindern hinaus.",
+    "Sie arbeitet mit ihm zusammen an einem Buch mit vielen Bildern.",
+    "The herd of gnu crossed the river as is its habit in the spring.",
+    "He limited the committee to members with the right of submission.",
+    "The attribution of the painting to the old master was disputed for years.",
+    "The bus left as is usual at nine, and the driver showed his licence.",
+    "The school redistributed the books among the classes after the flood.",
 ]
 #: Anchors are found as substrings, so inflected forms count.
-ANCHORS = ("licens", "licenc", "copyright", "gnu", "apache", "mozilla", "spdx", "redistribut", "sublicens", "creativecommons", "creative commons", "public domain", "cc0", "mit", "bsd", "gpl", "cc by", "unencumbered", "hereby granted", "rights reserved", "proprietary", "as is")
+ANCHORS = ("licens", "licenc", "copyright", "gnu", "apache", "mozilla", "spdx", "redistribut", "sublicens", "creativecommons", "creative commons", "public domain", "cc0", "mit", "bsd", "gpl", "cc by", "unencumbered", "hereby granted", "rights reserved", "proprietary", "as is", "attribution", "sharealike", "noncommercial")
 WORD = r"[^a-z0-9.+]+"
 SEPARATORS = r"\x00-\x2A\x2C\x2D\x2F\x3A-\x60\x7B-\x7F"
-EPOCHS, RATE, L2, SEED, COVERED = 300, 0.5, 1e-4, 5, 0.8
+EPOCHS, RATE, L2, SEED, FOLDS, COVERED = 300, 0.5, 1e-4, 5, 3, 0.8
 NONE, UNKNOWN = "none", "unknown"
 
 
@@ -147,7 +160,8 @@ class Model:
     bias: tuple[float, ...]
     weights: dict[str, tuple[float, ...]]  # n-gram -> a weight for each class
     temperature: float
-    least: float  # the least probability that is not `unknown`
+    some: float  # the least probability of any licence that is not `none`
+    least: float  # the least probability of a family that is not `unknown`
 
 
 def _softmax(z: list[float], t: float = 1.0) -> list[float]:
@@ -181,66 +195,86 @@ def _train(rows: list[tuple[set[str], int]], classes: int, vocabulary: set[str])
     return bias, weights
 
 
-def _examples(rng: random.Random) -> list[tuple[list[str], str]]:
-    """Templates, whole and embedded in prose, and the other sentences."""
+def _examples(rng: random.Random) -> list[tuple[list[str], str, int]]:
+    """(words, class, fold): templates, whole and embedded in prose, and the other sentences.
+
+    All that is made from one sentence is in one fold.
+    """
     prose = [w for s in OTHER[14:] for w in words(s)]
     out = []
     for family, texts in TEMPLATES.items():
-        for text in texts:
+        for k, text in enumerate(texts):
             w = words(text)
-            out.append((w, family))
-            out.append((rng.sample(prose, 4) + w, family))
-            out.append((w + rng.sample(prose, 6), family))
-            if len(w) > 12:
-                out.append((w[: len(w) * 2 // 3], family))
-    for text in OTHER:
+            made = [w, rng.sample(prose, 4) + w, w + rng.sample(prose, 6), *([w[: len(w) * 2 // 3]] if len(w) > 12 else [])]
+            out += [(x, family, k % FOLDS) for x in made]
+    for k, text in enumerate(OTHER):
         w = words(text)
-        out += [(w, NONE), (w + rng.sample(prose, 5), NONE), (rng.sample(prose, 8), NONE)]
+        out += [(x, NONE, k % FOLDS) for x in (w, w + rng.sample(prose, 5), rng.sample(prose, 8))]
     return out
 
 
+def _split(rows: list[tuple[float, bool]]) -> float:
+    """The threshold that puts most of the true rows at or above it and most of the others below; ties: the least one."""
+    points = sorted({0.0, 1.0, *(p for p, _ in rows)})
+    middles = [(a + b) / 2 for a, b in zip(points, points[1:])]
+    good, bad = sum(y for _, y in rows) or 1, sum(not y for _, y in rows) or 1
+    gain = [sum(y for p, y in rows if p >= t) / good + sum(not y for p, y in rows if p < t) / bad for t in middles]
+    best = [t for t, g in zip(middles, gain) if g == max(gain)]
+    return best[0]
+
+
 def fit() -> Model:
     """Train on the built-in sentences; the same model each time."""
     rng = random.Random(SEED)
     examples = _examples(rng)
     classes = (NONE, *TEMPLATES)
-    vocabulary = {g for w, _ in examples for g in ngrams(w) if any(a in g for a in ANCHORS)}
-    rows = [(ngrams(w), classes.index(y)) for w, y in examples]
-    # Temperature and threshold from paragraphs that the model of the other half has not seen.
+    vocabulary = {g for w, _, _ in examples for g in ngrams(w) if any(a in g for a in ANCHORS)}
+    rows = [(ngrams(w), classes.index(y), fold) for w, y, fold in examples]
+    # Temperature and thresholds from sentences of which the model of the other folds has seen nothing.
     held: list[tuple[list[float], int]] = []
-    for part in (0, 1):
-        b, ws = _train([r for k, r in enumerate(rows) if k % 2 != part], len(classes), vocabulary)
-        for grams, y in (r for k, r in enumerate(rows) if k % 2 == part):
-            known = [g for g in grams if g in ws]
-            scale = 1 / math.sqrt(len(known)) if known else 0.0
-            held.append(([x + scale * sum(ws[g][c] for g in known) for c, x in enumerate(b)], y))
+    for part in range(FOLDS):
+        rest = [(g, y) for g, y, fold in rows if fold != part]
+        b, ws = _train(rest, len(classes), {g for x, _ in rest for g in x} & vocabulary)
+        for grams, y, fold in rows:
+            if fold == part:
+                known = [g for g in grams if g in ws]
+                scale = 1 / math.sqrt(len(known)) if known else 0.0
+                held.append(([x + scale * sum(ws[g][c] for g in known) for c, x in enumerate(b)], y))
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0), key=lambda t: -sum(math.log(max(1e-9, _softmax(z, t)[y])) for z, y in held))
-    wrong = sorted(max(p) for z, y in held if (p := _softmax(z, temperature)).index(max(p)) != y)
-    least = min(0.6, max(0.3, wrong[int(0.9 * len(wrong))] if wrong else 0.3))
-    bias, weights = _train(rows, len(classes), vocabulary)
-    return Model(classes, tuple(bias), {g: tuple(w) for g, w in sorted(weights.items())}, temperature, least)
+    held_p = [(_softmax(z, temperature), y) for z, y in held]
+    some = _split([(1 - p[0], y > 0) for p, y in held_p])
+    least = _split([(max(p[1:]), p.index(max(p[1:]), 1) == y) for p, y in held_p if y > 0 and 1 - p[0] >= some])
+    bias, weights = _train([(g, y) for g, y, _ in rows], len(classes), vocabulary)
+    return Model(classes, tuple(bias), {g: tuple(w) for g, w in sorted(weights.items())}, temperature, some, least)
 
 
-def _weight_table(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, w array<double>")
+def _templates() -> list[tuple[str, list[str]]]:
+    """(family, its distinct 3-grams) of every template; one of fewer words is one gram."""
+    found = [(family, words(text)) for family, texts in TEMPLATES.items() for text in texts]
+    return [(family, sorted({" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or {" ".join(w)})) for family, w in found]
 
 
-def _template_table(spark: SparkSession) -> DataFrame:
-    rows = []
-    for family, texts in TEMPLATES.items():
-        for k, text in enumerate(texts):
-            w = words(text)
-            grams = sorted({" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or {" ".join(w)})
-            rows.append((family, k, grams))
-    return spark.createDataFrame(rows, "t_family string, t_number int, t_grams array<string>")
+def _gram_table(spark: SparkSession, model: Model) -> DataFrame:
+    """(known, w, ids): the weights of an n-gram, and the numbers of the templates that hold it; the empty n-gram has neither."""
+    holders: dict[str, list[int]] = {"": []}
+    for k, (_, grams) in enumerate(_templates()):
+        for g in grams:
+            holders.setdefault(g, []).append(k)
+    rows = [(g, list(model.weights[g]) if g in model.weights else None, holders.get(g, [])) for g in sorted({*model.weights, *holders})]
+    return spark.createDataFrame(rows, "known string, w array<double>, ids array<int>")
+
+
+#: A line end within a hard-wrapped sentence: after 40 to 120 characters without a full stop, before a small letter.
+WRAPPED = r"(?m)^([^\n]{40,120}+)(?<=[^\s.!?:;])\n[ \t]*(?=[a-z])"
 
 
 def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """(row, id, n_paragraphs, paragraph, family, probability, template_cover, confirmed) for every paragraph with an anchor,
     and one row with a null paragraph for every text without any. ``row`` tells repeated rows apart.
+
+    N-grams are exploded alone, without the paragraph they are of: a long paragraph costs as much as its words.
     """
-    spark = docs.sparkSession
-    lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    lowered = ascii_lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WRAPPED, "$1 "))
     marked = lambda text: f"({_plain_anchors(text)}) OR rlike({text}, '{_parted_anchors()}')"
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(lowered, "\n").alias("lines"))
     lines = F.expr(f"filter(transform(lines, (x, i) -> struct(i AS paragraph, x AS line)), x -> {marked('x.line')})")
@@ -250,37 +284,41 @@ def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFr
     keys = ["row", "id", "n_paragraphs", "paragraph"]
     parts = parts.select(*keys, stripped.alias("words"))
     gram = lambda n: f"if(size(words) >= {n}, transform(sequence(0, size(words) - {n}), i -> concat_ws(' ', {', '.join(f'words[i + {k}]' for k in range(n))})), CAST(array() AS ARRAY<STRING>))"
-    parts = parts.select(*keys, F.expr(f"array_distinct(concat({gram(1)}, {gram(2)}, {gram(3)}))").alias("grams"))
-    parts = parts.select(*keys, "grams", F.explode_outer(F.filter("grams", _any_contains)).alias("gram"))
-    known = F.broadcast(_weight_table(spark, model).withColumnRenamed("gram", "known"))  # the vocabulary: a few thousand rows
-    sums = parts.join(known, F.col("gram") == F.col("known"), "left").groupBy(*keys).agg(
-        F.first("grams").alias("grams"), F.count("known").alias("n"), *[F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0.0)).alias(f"s{c}") for c in range(len(model.classes))]
+    parts = parts.select(*keys, F.expr(f"array_distinct(concat({gram(1)}, {gram(2)}))").alias("short"), F.expr(f"array_distinct({gram(3)})").alias("triples"))
+    parts = parts.select(*keys, F.size("triples").alias("n_triples"), F.explode(F.concat(F.array(F.lit("")), "short", "triples")).alias("gram"))
+    known = F.broadcast(_gram_table(docs.sparkSession, model))  # the vocabulary and the templates: a few thousand rows
+    sums = parts.join(known, F.col("gram") == F.col("known")).groupBy(*keys, "n_triples").agg(
+        F.count("w").alias("n"), *[F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0.0)).alias(f"s{c}") for c in range(len(model.classes))], F.flatten(F.collect_list("ids")).alias("ids")
     )
     scale = F.when(F.col("n") > 0, 1 / F.sqrt("n")).otherwise(0.0)
     z = [(F.lit(b) + scale * F.col(f"s{c}")) / F.lit(model.temperature) for c, b in enumerate(model.bias)]
-    scored = sums.select(*keys, "grams", F.array(*z).alias("z"))
-    scored = scored.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    names = F.array(*[F.lit(c) for c in model.classes])
-    scored = scored.withColumn("family", F.element_at(names, F.col("best")))
+    scored = sums.select(*keys, "n_triples", "ids", F.array(*z).alias("z"))
+    scored = scored.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
+    scored = scored.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)))
+    scored = scored.withColumn("families", F.slice("p", 2, len(model.classes) - 1))
+    scored = scored.withColumn("best", F.array_position("families", F.array_max("families")).cast("int"))
+    scored = scored.select(*keys, "n_triples", "ids", (1 - F.get("p", F.lit(0))).alias("any"), F.array_max("families").alias("own"), F.element_at(F.array(*[F.lit(c) for c in model.classes[1:]]), F.col("best")).alias("named"))
     # A template confirms if the paragraph holds its 3-grams, or it holds those of a paragraph cut from it.
-    by_family = F.broadcast(_template_table(spark).groupBy("t_family").agg(F.collect_list("t_grams").alias("templates")))
-    compared = scored.join(by_family, F.col("family") == F.col("t_family"), "left")
-    triples = F.filter("grams", lambda g: F.size(F.split(g, " ")) == 3)
-    compared = compared.withColumn("triples", triples)
-    common = lambda t: F.size(F.array_intersect(t, F.col("grams")))
-    cover = F.array_max(F.transform("templates", lambda t: common(t) / F.greatest(F.lit(1), F.least(F.size(t), F.greatest(F.lit(3), F.size("triples"))))))
-    compared = compared.withColumn("template_cover", F.least(F.lit(1.0), F.coalesce(cover, F.lit(0.0))))
-    sure = F.col("probability") >= F.lit(model.least)
-    confirmed = F.col("template_cover") >= F.lit(COVERED)
-    family = F.when(F.col("family") == NONE, F.lit(NONE)).when(sure | confirmed, F.col("family")).otherwise(F.lit(UNKNOWN))
-    return compared.select(*keys, family.alias("family"), "probability", "template_cover", (confirmed & (F.col("family") != NONE)).alias("confirmed"))
+    by_family: dict[str, list[tuple[int, int]]] = {}
+    for k, (family, grams) in enumerate(_templates()):
+        by_family.setdefault(family, []).append((k, len(grams)))
+    covers = [
+        F.when(F.col("named") == family, F.greatest(F.lit(0.0), *[F.expr(f"size(filter(ids, x -> x = {k}))") / F.greatest(F.lit(1), F.least(F.lit(n), F.greatest(F.lit(3), F.col("n_triples")))) for k, n in numbers]))
+        for family, numbers in by_family.items()
+    ]
+    compared = scored.withColumn("template_cover", F.least(F.lit(1.0), F.coalesce(*covers, F.lit(0.0))))
+    covered = F.col("template_cover") >= F.lit(COVERED)
+    family = F.when(F.col("any") < F.lit(model.some), F.lit(NONE)).when((F.col("own") >= F.lit(model.least)) | covered, F.col("named")).otherwise(F.lit(UNKNOWN))
+    compared = compared.withColumn("family", family).withColumn("probability", F.when(family == UNKNOWN, F.col("any")).when(family == NONE, 1 - F.col("any")).otherwise(F.col("own")))
+    confirmed = covered & ~F.col("family").isin(NONE, UNKNOWN)
+    return settled(compared.select(*keys, "family", "probability", "template_cover", confirmed.alias("confirmed")))
 
 
 def paragraphs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, ``id_col``, paragraph, family, probability, template_cover, confirmed): every paragraph not classed `none`.
 
-    ``family`` is the classifier's, or `unknown` if its calibrated probability is too low and no template confirms it.
+    ``family`` is the classifier's, or `unknown` where a licence is likely but the likeliest family neither has a
+    calibrated probability that is high enough nor a template that agrees, which ``confirmed`` tells.
     """
     found = _scored(docs, model or fit(), id_col, text_col).where((F.col("family") != NONE) & F.col("paragraph").isNotNull())
     return found.select("row", F.col("id").alias(id_col), "paragraph", "family", "probability", "template_cover", "confirmed")
@@ -295,27 +333,22 @@ def _parted_anchors() -> str:
     return "|".join(a.replace(" ", r"[\\x00-\\x2A\\x2C-\\x2F\\x3A-\\x60\\x7B-\\x7F]+") for a in ANCHORS if " " in a)
 
 
-def _any_contains(gram):
-    found = F.lit(False)
-    for a in ANCHORS:
-        found = found | F.contains(gram, F.lit(a))
-    return found
-
-
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, n_paragraphs, n_license, families, license, probability, template_cover) for every row of ``docs``.
-
-    ``families`` are the confirmed families of the text's paragraphs, sorted and comma-joined; ``license``
-    is the family of the most probable confirmed paragraph (ties: the first), else `unknown` if a paragraph
-    reads like a licence without confirmation, else `none`. Null and empty texts have one empty paragraph and
-    no licence. Repeated rows give repeated results. Other columns are ignored; an empty table gives no rows.
+    """(``id_col``, n_paragraphs, n_license, families, license, confirmed, probability, template_cover) for every row of ``docs``.
+
+    ``families`` are the confirmed families of the text's paragraphs, sorted and comma-joined. ``license`` is the
+    family of the most probable confirmed paragraph (ties: the first), else that of the most probable one that no
+    template confirms, else `unknown` if a paragraph reads like a licence of no known family, else `none`;
+    ``confirmed``, probability and cover are that paragraph's. ``n_license`` counts the paragraphs that are not `none`.
+    Null and empty texts have one empty paragraph and no licence. Repeated rows give repeated results. Other columns
+    are ignored; an empty table gives no rows.
     """
     found = _scored(docs, model or fit(), id_col, text_col)
-    best = F.max(F.when(F.col("confirmed"), F.struct(F.col("probability"), (-F.col("paragraph")).alias("first"), F.col("family"), F.col("template_cover"))))
-    reads = F.count(F.when(F.col("paragraph").isNotNull() & (F.col("family") != NONE), 1))
+    reads = F.col("paragraph").isNotNull() & (F.col("family") != NONE)
+    best = F.max(F.when(reads, F.struct(F.col("confirmed"), (F.col("family") != UNKNOWN).alias("named"), F.col("probability"), (-F.col("paragraph")).alias("first"), F.col("family"), F.col("template_cover"))))
     families = F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",")
-    per_row = found.groupBy("row", "id", "n_paragraphs").agg(reads.alias("n_license"), families.alias("families"), best.alias("best"))
+    per_row = found.groupBy("row", "id", "n_paragraphs").agg(F.count(F.when(reads, 1)).alias("n_license"), families.alias("families"), best.alias("best"))
     return per_row.select(
-        F.col("id").alias(id_col), "n_paragraphs", "n_license", "families", F.coalesce(F.col("best.family"), F.when(F.col("n_license") > 0, F.lit(UNKNOWN)), F.lit(NONE)).alias("license"),
+        F.col("id").alias(id_col), "n_paragraphs", "n_license", "families", F.coalesce(F.col("best.family"), F.lit(NONE)).alias("license"), F.coalesce(F.col("best.confirmed"), F.lit(False)).alias("confirmed"),
         F.coalesce(F.col("best.probability"), F.lit(0.0)).alias("probability"), F.coalesce(F.col("best.template_cover"), F.lit(0.0)).alias("template_cover"),
     )

@@ -162,3 +162,41 @@ def test_quality_fit_takes_one_score_for_each_id(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
     model = quality.fit(docs, labels)
     assert len(model.weights) == quality.BUCKETS and all(r.kept for r in quality.judge(docs.where("doc_id = 1").limit(3), model).collect())
+
+
+def plain_license(model, line):
+    """A paragraph's family, its probability and whether a template confirms it."""
+    w = licenses.words(line)
+    grams = licenses.ngrams(w)
+    known = [g for g in grams if g in model.weights]
+    scale = len(known) ** -0.5 if known else 0.0
+    p = licenses._softmax([b + scale * sum(model.weights[g][c] for g in known) for c, b in enumerate(model.bias)], model.temperature)
+    if 1 - p[0] < model.some:
+        return licenses.NONE, False
+    best = p.index(max(p[1:]), 1)
+    triples = {g for g in grams if g.count(" ") == 2}
+    cover = max(len(set(t) & grams) / max(1, min(len(t), max(3, len(triples)))) for f, t in licenses._templates() if f == model.classes[best])
+    confirmed = cover >= licenses.COVERED
+    return (model.classes[best], confirmed) if confirmed or p[best] >= model.least else (licenses.UNKNOWN, False)
+
+
+def test_licences_against_a_plain_version(spark):
+    model = licenses.fit()
+    assert 0 < model.some < 1 and 0 < model.least < 1
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.OTHER
+    texts += ["Released under the BSD 3-Clause terms", "Distributed under GPL v3", "This program is covered by the GPL, version 3 or later.", "Content available under CC BY-SA 4.0.", "x mit y", "Shared under the Frobnicator licence"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.confirmed) for r in licenses.scan(docs, model).collect()}
+    want = {i: plain_license(model, t) for i, t in enumerate(texts)}
+    assert got == want
+    families = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
+    assert all(want[i] == (f, True) for i, f in enumerate(families))
+    assert sum(want[len(families) + i][0] == "none" for i in range(len(licenses.OTHER))) >= 0.9 * len(licenses.OTHER)
+
+
+def test_licences_of_wrapped_and_long_paragraphs(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction, including without limitation the rights to use, copy,\nmodify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    long = " ".join(f"w{i}" for i in range(60_000)) + " licensed under the terms"
+    docs = spark.createDataFrame([(1, "Intro.\n" + notice + "\nEnd."), (2, long), (3, "One short line\nof two"), (4, "A line without an end that is longer than forty\nBut a capital follows")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].n_paragraphs for i in (1, 2, 3, 4)] == [3, 1, 2, 2] and got[1].license == "MIT" and got[1].n_license == 1
