@@ -60,6 +60,12 @@ ROLES = frozenset(
 #: The same, but for containers within an article or named after one (`entry-header`).
 PAGE_ROLES = frozenset("header headers side aside".split())
 CONTENT = frozenset("article content entry main post section story".split())
+#: Of the words above, those that pages use for their subject as well, and those that name a part of the layout.
+COMMON = frozenset("ad alert copyright form hidden legal rail search social tags".split())
+LAYOUT = frozenset("hidden menu nav navigation rail sidebar sidebars search social toc".split())
+#: Words of containers, which leave the meaning of a name to its other words.
+BOXES = frozenset("area bar block bottom box btn button buttons col column container fixed floating global group header icon icons inner item items js left link links list main media mobile module outer page panel primary right row secondary section site sticky text title top unit web wrap wrapper".split())
+DOUBTED, SURE = 1, 2
 #: Class names that begin so say what a container has, not what it is (`with-sidebar`).
 ABOUT = frozenset("has with no not is without show hide enable disable".split())
 TAG = re.compile(r"""<(?:!--(?P<comment>)|[!?][^>]*>|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:_-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""")
@@ -72,23 +78,37 @@ class Block:
     links: int
     furniture: bool
     article: int  # the number of the article it lies in, or 0
+    tag: str = ""
     good: bool | None = field(default=None)
 
 
-def _marked(rest: str, article: int = 0) -> bool:
-    """Whether the attributes name furniture or hide the element."""
+def _names_furniture(parts: list[str], article: int) -> int:
+    """What the parts of a class name, id or role say: ``DOUBTED`` where what they name may hold the article as well."""
+    if parts[0] in ABOUT:
+        return 0
+    roles = [x for x in parts if x in ROLES]
+    if roles:
+        if all(x in COMMON for x in roles) and parts[-1] not in COMMON and not all(x in ROLES or x in PAGE_ROLES or x in CONTENT or x in BOXES or x.isdigit() or not x for x in parts):
+            return 0  # `social-science`, `news-search-engine`: a word of the subject, where `contact-form` is a form
+        return DOUBTED if all(x in LAYOUT for x in roles) else SURE
+    if not article and not PAGE_ROLES.isdisjoint(parts) and CONTENT.isdisjoint(parts):
+        return DOUBTED
+    return 0
+
+
+def _marked(rest: str, article: int = 0) -> int:
+    """Whether the attributes name furniture or hide the element: 0, ``DOUBTED`` or ``SURE``."""
+    found = 0
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif any(not ROLES.isdisjoint(parts) and parts[0] not in ABOUT for x in value.split() if (parts := re.split(r"[^a-z0-9]+", x))):
-            return True
-        elif not article and any(not PAGE_ROLES.isdisjoint(parts) and parts[0] not in ABOUT and CONTENT.isdisjoint(parts) for x in value.split() if (parts := re.split(r"[^a-z0-9]+", x))):
-            return True
-    return False
+                return SURE
+        else:
+            found = max([found, *(_names_furniture(re.split(r"[^a-z0-9]+", x), article) for x in value.split())])
+    return found
 
 
 def blocks(page: str, hints: bool = True) -> list[Block]:
@@ -97,8 +117,8 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
     ``hints``: whether class, id and role of an element may mark it as furniture.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, article
-    hidden, furniture, article, articles = False, False, 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # name, hidden, furniture (0 no, DOUBTED, SURE), article
+    hidden, furniture, article, articles = False, 0, 0, 0
     pieces: list[str] = []
     links, link_depth, breaks = 0, 0, 0
     endless: set[str] = set()  # names without an end tag from here on
@@ -107,7 +127,7 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
         nonlocal links, breaks
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, links, furniture, article))
+            out.append(Block(text, links, bool(furniture), article, stack[-1][0] if stack else ""))
         pieces.clear()
         links, breaks = 0, 0
 
@@ -126,7 +146,7 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
         nonlocal hidden, furniture, article, link_depth
         end_block()
         del stack[index:]
-        _, hidden, furniture, article = stack[-1] if stack else ("", False, False, 0)
+        _, hidden, furniture, article = stack[-1] if stack else ("", False, 0, 0)
         link_depth = 0
 
     at, end = 0, len(page)
@@ -192,8 +212,10 @@ def blocks(page: str, hints: bool = True) -> list[Block]:
         if name in ARTICLE and not article:
             articles += 1
             article = articles
-        marked = name in FURNITURE or name == "header" and not article or name not in ARTICLE and name != "html" and hints and bool(rest) and _marked(rest, article)
-        hidden, furniture = hidden or name in HIDDEN, furniture or marked
+        marked = SURE if name in FURNITURE or name == "header" and not article else _marked(rest, article) if name not in ARTICLE and name != "html" and hints and rest else 0
+        if name in ARTICLE and furniture == DOUBTED:  # a container's name may say what else it holds
+            furniture = 0
+        hidden, furniture = hidden or name in HIDDEN, max(furniture, marked)
         stack.append((name, hidden, furniture, article))
     end_block()
     return out
@@ -224,17 +246,21 @@ def classify(found: list[Block]) -> list[Block]:
     language = _language(plain)
     for b in found:
         size = len(b.text)
-        if b.furniture or b.links > LINK_DENSITY * size or by_article and not b.article:
+        if b.furniture or by_article and not b.article:
             b.good = False
+        elif b.links > LINK_DENSITY * size:
+            # a paragraph of an article that is a link but reads like prose is left to its neighbours
+            prose = b.article and b.tag == "p" and size >= SHORT and _density(b.text.lower().split(), (language or (STOP_WORDS,))[0]) >= (language or (0, DENSE))[1]
+            b.good = None if prose else False
         elif language is None and not b.article:  # in an unknown language, length and links decide
             if _width(b.text) >= SHORT:
                 b.good = True
         elif size >= SHORT:
             known, dense, sparse = language or (STOP_WORDS, DENSE, SPARSE)
             density = _density(b.text.lower().split(), known)
-            if b.article or density >= dense:
+            if density >= (sparse if b.article else dense):
                 b.good = True
-            elif density < sparse:
+            elif density < sparse and not b.article:  # in an article, code and tables go with their neighbours
                 b.good = False
     _inherit(found)
     return found

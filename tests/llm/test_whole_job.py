@@ -200,3 +200,21 @@ def test_licences_of_wrapped_and_long_paragraphs(spark):
     docs = spark.createDataFrame([(1, "Intro.\n" + notice + "\nEnd."), (2, long), (3, "One short line\nof two"), (4, "A line without an end that is longer than forty\nBut a capital follows")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [got[i].n_paragraphs for i in (1, 2, 3, 4)] == [3, 1, 2, 2] and got[1].license == "MIT" and got[1].n_license == 1
+
+
+def test_html_container_names_that_speak_of_the_page():
+    page = '<body><div class="{}"><main><article><h1>Title</h1><p>{}</p></article></main><div class="sidebar"><p>{}</p></div></div></body>'
+    for name in ("content-sidebar-wrap", "sidebar-left-layout", "has-sidebar", "nav-open"):
+        assert html_text.main_text(page.format(name, PROSE, "Other things that are on the site and are not of the text of this page.")) == "Title\n" + PROSE
+    for name in ("social-science", "news-search-engine", "legal-history"):
+        assert html_text.main_text(f'<body><div class="{name}"><p>{PROSE}</p></div><div class="newsletter"><p>Sign up for the letter of the week, and have it in your mail on the same day.</p></div></body>') == PROSE
+    for name in ("search-box", "social-links", "comments", "comment-list", "article-ad", "cookie-banner", "reader-comments"):
+        inner = "<article><p>The best of the posts that I have read on the site in a year, and I say it to all.</p></article>" if "comment" in name else "<p>Find what is on the site by the word that you have in your mind, and press the key.</p>"
+        assert html_text.main_text(f'<body><article><p>{PROSE}</p></article><div class="{name}">{inner}</div></body>') == PROSE
+
+
+def test_html_paragraphs_that_are_links_or_no_prose():
+    link = '<p><a href="x">This is the whole of a paragraph of the article that was made into one long link by its author.</a></p>'
+    code = "<pre>" + " ".join(f"x{i}=f(x{i - 1});" for i in range(1, 12)) + "</pre>"
+    got = html_text.main_text(f"<body><nav><a href=a>One</a></nav><article><p>{PROSE}</p>{link}{code}<p>{PROSE}</p><ul><li><a href=y>More of it</a></li></ul></article></body>").split("\n")
+    assert len(got) == 4 and got[1].startswith("This is the whole") and got[2].startswith("x1=f(x0)")
