@@ -10,6 +10,7 @@ or the metadata columns alone, without the rest.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
@@ -40,6 +41,22 @@ FORMAT = {
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
+#: The kind of tokenizer whose texts may be cut into words: white space is dropped, letters are lowered, pieces are split off (fixed values of the format).
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [WORD_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def takes_words(tokenizer_path: str) -> bool:
+    """Whether a text's ids are those of its words in turn, by what the tokenizer's file says of itself."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    plain = model.get("type", "BPE") == "BPE" and model.get("dropout") is None and model.get("end_of_word_suffix") == "</w>" and model.get("continuing_subword_prefix") is None and not model.get("byte_fallback") and not model.get("ignore_merges")
+    added = all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not x["normalized"] for x in said["added_tokens"])
+    return plain and added and said["normalizer"] == WORD_NORMALIZER and said["pre_tokenizer"] == WORD_PRE_TOKENIZER
+
+
 class _Recent(dict):
     """A map that makes what it lacks and keeps what was used of late: at most two generations of ``size`` entries."""
 
@@ -64,8 +81,9 @@ class _Recent(dict):
 class Encoder:
     """Encodes UTF-8 texts, looking up the ids of words that it has met of late.
 
-    Valid for tokenizers that drop white space and never merge across it, or across ``PIECE``s; then a
-    text's ids are the ids of its pieces in turn. Words with characters beyond Latin-1, where case and
+    Only for tokenizers whose file names just this normalizer and split (``takes_words``): they drop white space and
+    never merge across it, or across ``PIECE``s, so a text's ids are the ids of its pieces in turn. With any other
+    file, whole texts go to the library. Words with characters beyond Latin-1, where case and
     composition take care, with control characters, and words that may hold a special token, go to the
     tokenizer as they are.
     Tests compare all this with whole-text encoding.
@@ -75,14 +93,13 @@ class Encoder:
 
     TAIL = frozenset(b".,;:!?")
 
-    def __init__(self, tokenizer_path: str, words: int = 600_000):
+    def __init__(self, tokenizer_path: str, words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
-        if any(self._piece(x) != self._ids(x) for x in ("a", "the", "wörter", "!!", "7", "naïveté", "...?")):
-            self._piece = self._ids
+        self.by_word = takes_words(tokenizer_path)
         self.words = _Recent(words, self._word)
 
     def _ids(self, text: str) -> bytes:
@@ -110,6 +127,8 @@ class Encoder:
 
     def __call__(self, texts: Iterable[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers in the machine's order."""
+        if not self.by_word:
+            return [self._ids(text.decode("utf-8", "replace")) for text in texts]
         out = []
         for text in texts:
             out.append(b"".join(map(self.words.__getitem__, text.split())))

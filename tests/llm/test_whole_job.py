@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from planloom.llm import decontaminate, html_text, langid, licenses, quality, simhash
+from planloom.llm import decontaminate, html_text, langid, licenses, quality, queries, simhash, token_output
 from planloom.llm.common import materialize
 
 DATA = "/root/testdata"
@@ -218,3 +218,21 @@ def test_html_paragraphs_that_are_links_or_no_prose():
     code = "<pre>" + " ".join(f"x{i}=f(x{i - 1});" for i in range(1, 12)) + "</pre>"
     got = html_text.main_text(f"<body><nav><a href=a>One</a></nav><article><p>{PROSE}</p>{link}{code}<p>{PROSE}</p><ul><li><a href=y>More of it</a></li></ul></article></body>").split("\n")
     assert len(got) == 4 and got[1].startswith("This is the whole") and got[2].startswith("x1=f(x0)")
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    assert token_output.takes_words(path) and not token_output.takes_words(queries.tokenizer_path("byte_bpe_50k.json"))
+    said = json.loads(Path(path).read_text())
+    said["normalizer"]["normalizers"].pop()  # the same, but letters keep their case
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(said))
+    texts = ["The  Cat's\nTEN 10 tries, naïve Ünïcode!", "", "<|endoftext|> x", "e\u0301 ABC"]
+    for file in (path, queries.tokenizer_path("byte_bpe_50k.json"), str(other)):
+        library, encode = Tokenizer.from_file(file), token_output.Encoder(file)
+        got = [list(np.frombuffer(x, "<i4")) for x in encode([t.encode() for t in texts])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
