@@ -72,10 +72,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough that very long texts fit in a Python worker."""
+    """``mapInArrow`` with batches small enough that very long texts fit in a Python worker, which frees them when a task ends."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def texts_in(column, step: int = 64) -> Iterator[bytes]:
