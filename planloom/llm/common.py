@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -64,7 +66,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(context.applicationId)
     root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="planloom-code-")) / "planloom.zip"
+    folder = tempfile.mkdtemp(prefix="planloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = Path(folder) / "planloom.zip"
     with zipfile.ZipFile(out, "w") as archive:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, file.relative_to(root.parent))

@@ -154,9 +154,11 @@ def links(prints: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
             rows += batch.num_rows
-            if rows < 1 << 17:
+            if rows < 1 << 17 or held[-1][0][-1] == held[0][0][0]:  # few rows, or one bucket so far
                 continue
             keys, values = (np.concatenate(x) for x in zip(*held))
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
