@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id stays."""
+    """Of each component of near-duplicates, the document with the smallest id stays: SimHash finds links, texts decide, an exact join adds what fingerprints miss."""
     return simhash.keep_one(docs)
 
 

@@ -11,8 +11,11 @@ more, by the one-wildcard variants of the other segment's halves, which bounds a
 values its free bits allow; no link is lost.
 
 ``keep_one``, the pipeline's near-dedup, has a rule of its own: sets of five-word shingles with a Jaccard
-similarity of 0.8 or more. Fingerprints of such texts differ in ten bits on average and in up to twenty, which
-leaves segments of a 64-bit fingerprint too short to be an index; the candidates come from ``similar`` instead.
+similarity of 0.8 or more. Its fingerprints are of the sets and have 128 bits in eight 16-bit segments: of two that
+differ in at most fifteen bits, one segment differs in at most one. Texts at 0.8 differ in about nineteen bits
+of 128 and unrelated ones in 64, so each pair that meets in a variant and differs in at most 32 is a
+candidate (a pair at 0.8 meets with a probability of 0.93, one at 0.9 with 0.99), and the texts decide. No radius
+takes in every similar pair: ``similar`` adds the links between texts that fingerprints have left apart.
 """
 
 from __future__ import annotations
@@ -25,15 +28,30 @@ from pyspark.sql import functions as F
 
 from planloom.llm.common import map_batches, materialize, row_keys, texts_in
 from planloom.llm.components import components
-from planloom.llm.similar import similar_rows
+from planloom.llm.similar import runs, similar_rows
 
-MAX_DISTANCE, SEED, WORDS = 3, 42, 3
+MAX_DISTANCE, SEGMENTS, SEED, WORDS = 3, 2, 42, 3
+#: Of the 128 bits of a set of shingles, for the pipeline's near-dedup.
+SET_DISTANCE, SET_SEGMENTS = 32, 8
 #: Buckets up to this size are compared by shifts of the sorted column, larger ones by a search from each member.
 SHIFTED = 12
 #: Buckets over this size are indexed a second time.
 REINDEXED = 2048
 
 
+def set_print(hashes: np.ndarray) -> tuple[int, int]:
+    """SimHash of a set of hashes in two 64-bit words; the second is of the hashes mixed once more."""
+    counts = np.zeros(128, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        some = hashes[start : start + (1 << 14)]
+        more = (some ^ (some >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        more = (more ^ (more >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        both = np.stack([some, more ^ (more >> np.uint64(33))], axis=1)
+        counts += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    first, second = np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64).tolist()
+    return first, second
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """SimHash of the word shingles of a UTF-8 text: A-Z lowered, ASCII white space, repeats included."""
     parts = text.lower().split()
@@ -61,65 +79,97 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(id_col, F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, fp bigint")
 
 
-def variants(prints: DataFrame) -> DataFrame:
-    """(key, fp): the 64 one-wildcard segment variants of each fingerprint."""
-    segment = F.expr("(CASE WHEN at < 32 THEN fp ELSE shiftrightunsigned(fp, 32) END) & 4294967295")
-    return prints.select("fp", F.explode(F.expr("sequence(0, 63)")).alias("at")).select(
-        F.expr("shiftleft(CAST(at AS BIGINT), 32)").bitwiseOR(segment.bitwiseAND(F.expr("~shiftleft(1L, at % 32)"))).alias("key"), "fp"
+def variants(prints: DataFrame, segments: int = SEGMENTS, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(key, all columns): the one-wildcard segment variants, as many as bits, of each fingerprint of 64-bit ``words``."""
+    width = 64 * len(words) // segments
+    word = " ".join(f"WHEN at < {64 * (i + 1)} THEN {w}" for i, w in enumerate(words))
+    segment = F.expr(f"shiftrightunsigned(CASE {word} END, (at - at % {width}) % 64) & {(1 << width) - 1}")
+    return prints.select("*", F.explode(F.expr(f"sequence(0, {64 * len(words) - 1})")).alias("at")).select(
+        F.expr("shiftleft(CAST(at AS BIGINT), 32)").bitwiseOR(segment.bitwiseAND(F.expr(f"~shiftleft(1L, at % {width})"))).alias("key"), *prints.columns
     )
 
 
-def _near(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= MAX_DISTANCE
+def _near(a: np.ndarray, b, most: int = MAX_DISTANCE) -> np.ndarray:
+    """Whether fingerprints differ in at most ``most`` bits; those of several words have a row each."""
+    both = a ^ b
+    if both.ndim == 1:
+        return np.bitwise_count(both) <= most
+    return sum(np.bitwise_count(both[..., word]) for word in range(both.shape[-1])) <= most
 
 
-def _search(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning forest of one bucket: each search step removes what it reaches from the open set."""
-    open_, found = values, []
+def _search(values: np.ndarray, names: np.ndarray | None = None, most: int = MAX_DISTANCE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forest of one bucket, of direct links: each search step removes what it reaches from the open set."""
+    names = values if names is None else names
+    open_, called, found = values, names, []
     while len(open_) > 1:
-        root, open_ = open_[0], open_[1:]
-        queue = [root]
+        queue = [(open_[0], called[0])]
+        open_, called = open_[1:], called[1:]
         while queue and len(open_):
-            near = _near(open_, queue.pop())
+            value, name = queue.pop()
+            near = _near(open_, value, most)
             if near.any():
-                reached, open_ = open_[near], open_[~near]
-                found.append((np.full(len(reached), root), reached))
-                queue.extend(reached)
+                reached = called[near]
+                found.append((np.full(len(reached), name), reached))
+                queue.extend(zip(open_[near], reached))
+                open_, called = open_[~near], called[~near]
     return found
 
 
+def _not_alone(values: np.ndarray, most: int) -> np.ndarray:
+    """Which of a bucket's fingerprints of several words are near any other: few where short segments bring unrelated texts together."""
+    columns = np.ascontiguousarray(values.T)
+    found = []
+    for at in range(0, len(values), 64):
+        far = sum(np.bitwise_count(c[at : at + 64, None] ^ c) for c in columns)
+        found.append(np.count_nonzero(far <= most, axis=1) > 1)
+    return np.concatenate(found)
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-def _links(keys: np.ndarray, values: np.ndarray, reindex: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within runs of equal keys; ``values`` are distinct within a run, as unsigned integers."""
+def _rest(values: np.ndarray, place: int, width: int, parts: int) -> np.ndarray:
+    """(row, part): the bits of each fingerprint without those of one segment, in equal parts."""
+    out = []
+    for start in range(0, len(values), 1 << 14):
+        some = values[start : start + (1 << 14)]
+        bits = np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+        bits = np.delete(bits, np.s_[place : place + width], axis=1).reshape(len(some), parts, -1)
+        out.append((bits @ (1 << np.arange(bits.shape[2]))).astype(np.uint64))
+    return np.concatenate(out)
+
+
+def _links(keys: np.ndarray, values: np.ndarray, names: np.ndarray | None = None, segments: int = SEGMENTS, most: int = MAX_DISTANCE, reindex: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Direct links within runs of equal keys, as names; without these, ``values`` are their own and distinct within a run."""
     if not len(keys):
         return []
+    names = values if names is None else names
     starts, sizes = _groups(keys)
     found = []
     small = np.repeat(sizes <= SHIFTED, sizes)
-    k, v = keys[small], values[small]
+    k, v, c = keys[small], values[small], names[small]
     for lag in range(1, SHIFTED):
-        if lag >= len(k):
+        hit = np.flatnonzero(k[lag:] == k[:-lag])
+        if not len(hit):
             break
-        hit = (k[lag:] == k[:-lag]) & _near(v[lag:], v[:-lag])
-        if hit.any():
-            found.append((v[:-lag][hit], v[lag:][hit]))
+        hit = hit[_near(v[hit + lag], v[hit], most)]
+        found.append((c[hit], c[hit + lag]))
+    width = values[0].nbytes * 8 // segments
     for start, size in zip(starts[sizes > SHIFTED], sizes[sizes > SHIFTED]):
-        bucket = np.unique(values[start : start + size])
+        bucket, called = values[start : start + size], names[start : start + size]
         if size <= REINDEXED or not reindex:
-            found += _search(bucket)
+            near = _not_alone(bucket, most) if values.ndim > 1 and size <= REINDEXED else slice(None)
+            found += _search(bucket[near], called[near], most)
             continue
-        at = int(keys[start]) >> 32
-        other = (bucket >> np.uint64(32 if at < 32 else 0)) & np.uint64(0xFFFFFFFF)
-        for half in (0, 16):
-            part = (other >> np.uint64(half)) & np.uint64(0xFFFF)
-            for bit in range(16):
+        # the bits of the other segments, in as many parts as there are segments: again at most one in some part
+        rest = _rest(bucket, int(keys[start] >> 32) // width * width, width, segments)
+        for part in rest.T:
+            for bit in range(width - width // segments):
                 masked = part & ~np.uint64(1 << bit)
                 order = np.argsort(masked, kind="stable")
-                found += _links(masked[order], bucket[order], reindex=False)
+                found += _links(masked[order], bucket[order], called[order], segments, most, reindex=False)
     return found
 
 
@@ -172,6 +222,28 @@ def links(prints: DataFrame) -> DataFrame:
     return map_batches(dealt, run, "src bigint, dst bigint").distinct()
 
 
+def close_sets(prints: DataFrame) -> DataFrame:
+    """(a, b) with a < b: candidates among ``class`` with fingerprints (``fp``, ``fp2``); rows are distinct.
+
+    They hold all pairs with at most fifteen differing bits, and others up to ``SET_DISTANCE``; of a bucket of more
+    than a few, a spanning forest of such pairs.
+    """
+
+    def run(batches):
+        for keys, first, second, names in runs(batches):
+            found = _links(keys, np.stack([first, second], axis=1).view(np.uint64), names, SET_SEGMENTS, SET_DISTANCE)
+            if not found:
+                continue
+            a, b = np.sort(np.stack([np.concatenate(x) for x in zip(*found)]), axis=0)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+    dealt = variants(prints.select("fp", "fp2", "class"), SET_SEGMENTS, ("fp", "fp2")).repartition("key").sortWithinPartitions("key", "class")
+    return map_batches(dealt, run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, fingerprint, component_id) for every row of ``docs``.
 
@@ -193,14 +265,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Of each component of rows whose texts ``similar.similar_rows`` links, the row with the smallest id, in whole.
 
     Five-word shingles and a Jaccard similarity of 0.8 or more, where ``near_duplicates`` (op3_simhash) has
-    three bits of a fingerprint of three-word shingles. Rows are told apart by two hashes of id and text, so of
+    three bits of a fingerprint of three-word shingles. Links come from the fingerprints of the sets first
+    (``close_sets``), then from an exact join of what these leave apart. Rows are told apart by two hashes of id and text, so of
     repeated rows one stays; a row without an id stays only if its component has no row with one. Null, empty
     and blank texts are one component. Other columns may have any name. An empty table gives no rows.
     ``docs`` is read several times and must give the same rows each time: a table, not a sample.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(*row_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole.alias("whole"))
-    roots = similar_rows(keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")))
+    roots = similar_rows(keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")), set_print, close_sets)
     ids = keyed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     kept = roots.distinct().join(ids, ["k1", "k2"]).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2", "n")).alias("least")).select("least.k1", "least.k2", "least.n")
     kept = materialize(kept, "kept")

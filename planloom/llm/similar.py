@@ -4,11 +4,15 @@ Equal sets collapse into a class first. The shingles of a set are put in one ord
 last; two similar sets then share a shingle within their first fifths (prefix filter), and the positions of the
 first one they share bound their overlap (positional filter). Rows meet by such a shingle, and of the pairs that
 pass both filters the whole texts are compared. Only texts that are in a pair move for that.
+
+Before that come the pairs that an index of sketches of the sets finds (the pipeline's are SimHash fingerprints):
+their texts are compared first, and the join compares only pairs that these links leave apart.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -69,34 +73,41 @@ class _Fresh:
         return True
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(k1, k2, class) of every row, and beside them, with a null class, each task's counts of shingles (part, counts)."""
+def _sets(texts: DataFrame, sketch: Callable[[np.ndarray], tuple[int, int]]) -> DataFrame:
+    """(k1, k2, class, fp, fp2) of every row, and beside them, with a null class, each task's counts of shingles (part, counts).
+
+    ``fp`` and ``fp2`` are the sketch of the set where a task meets its class first, else null.
+    """
 
     def run(batches):
         fresh, counts, held, size = _Fresh(), np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
-            names = []
+            if not batch.num_rows:
+                continue
+            names, prints = [], []
             for text in texts_in(batch.column(2)):
                 hashes = shingles(text)
                 names.append(_class(hashes))
+                prints.append((None, None))
                 if fresh(names[-1]):
+                    prints[-1] = sketch(hashes)
                     held.append(_slots(hashes))
                     size += len(hashes)
                 if size > 1 << 20:
                     counts += np.bincount(np.concatenate(held), minlength=SLOTS)
                     held, size = [], 0
             none = pa.nulls(len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names=names_out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), *[pa.array(x, pa.uint64()).view(pa.int64()) for x in zip(*prints)], none.cast(pa.int32()), none.cast(pa.binary())], names=names_out)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=SLOTS)
         small = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, PART)
         parts = np.flatnonzero(small.any(axis=1))
         if len(parts):
             none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.int32()), pa.array([small[p].tobytes() for p in parts], pa.binary())], names=names_out)
+            yield pa.RecordBatch.from_arrays([*[none] * 5, pa.array(parts, pa.int32()), pa.array([small[p].tobytes() for p in parts], pa.binary())], names=names_out)
 
-    names_out = ["k1", "k2", "class", "part", "counts"]
-    return map_batches(texts.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, class bigint, part int, counts binary")
+    names_out = ["k1", "k2", "class", "fp", "fp2", "part", "counts"]
+    return map_batches(texts.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, class bigint, fp bigint, fp2 bigint, part int, counts binary")
 
 
 def _ranks(sets: DataFrame) -> np.ndarray:
@@ -152,7 +163,7 @@ def _members(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
     return map_batches(texts.select("text"), run, "key bigint, class bigint, at bigint")
 
 
-def _runs(batches):
+def runs(batches):
     """The columns of batches sorted by the first, in pieces that never part a run of equal first values."""
     held, rows = [], 0
     for batch in batches:
@@ -186,7 +197,7 @@ def _pairs(members: DataFrame, pivots: int) -> DataFrame:
     """
 
     def run(batches):
-        for keys, names, at, roots in _runs(batches):
+        for keys, names, at, roots in runs(batches):
             new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])))  # one class may come from several tasks
             keys, names, at, roots = keys[new], names[new], at[new], roots[new]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -275,27 +286,42 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(dealt.select("a", "b", "text"), run, "src bigint, dst bigint")
 
 
-def similar_rows(texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(src, dst): the pairs of classes (a, b) whose texts are similar."""
+    pairs = materialize(pairs, "pairs")
+    of_pairs = _texts_of(pairs, texts, first)
+    found = materialize(_similar(pairs, of_pairs), "similar")
+    discard(pairs)
+    discard(of_pairs)
+    return found
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b")
+
+
+def similar_rows(texts: DataFrame, sketch: Callable[[np.ndarray], tuple[int, int]], close: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(k1, k2, root) for every row of (``k1`` long, ``k2`` long, ``text`` binary): the name of its component.
 
     Rows are linked where the Jaccard similarity of their sets of five-word shingles is 0.8 or more (a text of
-    fewer words is one shingle). Candidates are complete and each link is verified. Large buckets are compared
+    fewer words is one shingle). ``sketch`` makes 128 bits of a set, and ``close`` candidates (a, b) of (class, fp, fp2);
+    what they do not link is joined exactly. Candidates are complete and each link is verified. Large buckets are compared
     with a few of their rows at a time, and what this links is not compared again. ``k1`` and ``k2`` are hashes;
     rows with equal ones have equal texts. ``texts`` is read several times and must give the same rows each time.
     """
-    sets = materialize(_sets(texts), "sets")
+    sets = materialize(_sets(texts, sketch), "sets")
     rows = sets.where("class IS NOT NULL").select("k1", "k2", "class")
     first = rows.groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    members = _members(texts, _ranks(sets)).withColumn("root", F.col("class"))
-    edges, pivots = None, PIVOTS
+    edges = _compared(close(sets.where("fp IS NOT NULL").select("class", "fp", "fp2").distinct()), texts, first)
+    roots = components(edges)
+    members, pivots = _members(texts, _ranks(sets)).withColumn("root", F.col("class")), PIVOTS
     while True:
         met = materialize(_pairs(members, pivots), "met")
-        pairs = materialize(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-        of_pairs = _texts_of(pairs, texts, first)
-        found = materialize(_similar(pairs, of_pairs), "similar")
-        discard(pairs)
-        discard(of_pairs)
-        edges = found if edges is None else edges.unionByName(found)
+        pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
+        edges = edges.unionByName(_compared(_apart(pairs, roots), texts, first))
         roots = components(edges)
         rest = met.where("key IS NOT NULL").select("key", "class", "at")
         if rest.isEmpty():

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from planloom.llm import decontaminate, html_text, langid, licenses, quality, queries, simhash, token_output
+from planloom.llm import decontaminate, html_text, langid, licenses, quality, queries, similar, simhash, token_output
 from planloom.llm.common import materialize
 
 DATA = "/root/testdata"
@@ -57,6 +57,76 @@ def test_near_dedup_of_large_groups(spark):
     assert sorted(r.doc_id for r in got) == plain_kept([r[:2] for r in rows])
 
 
+def roots_of(pairs, names):
+    """The components, as sorted lists, that pairs make of names."""
+    groups = {n: {n} for n in names}
+    for x, y in pairs:
+        if groups[x] is not groups[y]:
+            groups[x] |= groups[y]
+            for n in groups[y]:
+                groups[n] = groups[x]
+    return sorted({tuple(sorted(g)) for g in groups.values()})
+
+
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    """The index of variants gives the first pairs; the exact join compares only what their links leave apart."""
+    rng, asked, rounds = random.Random(5), [], []
+    whole, variants = similar._compared, simhash.variants
+    monkeypatch.setattr(simhash, "variants", lambda prints, *more: (asked.append(prints.columns), variants(prints, *more))[1])
+
+    def compared(pairs, texts, first):
+        pairs = materialize(pairs, "seen")
+        found = whole(pairs, texts, first)
+        rounds.append([{tuple(r) for r in x.collect()} for x in (pairs, found)])
+        return found
+
+    monkeypatch.setattr(similar, "_compared", compared)
+    texts = []
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in range(300)]
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.sample(range(300), 2):
+                copy[at] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate([*texts, None, "", "a b"])]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept([r[:2] for r in rows]) == [*range(0, 48, 4), 48, 50]
+    assert asked == [["fp", "fp2", "class"]]
+    names = {similar._class(similar.shingles(t.encode())) for t in texts}
+    names = {n - (1 << 64) if n >> 63 else n for n in names}
+    linked = roots_of(rounds[0][1], names)
+    assert len(linked) == 12 and all(len(g) == 4 for g in linked)  # fingerprints found every group of such copies
+    assert all(not any({a, b} <= set(g) for g in linked) for pairs, _ in rounds[1:] for a, b in pairs)
+
+
+def test_fingerprint_index_of_sets(spark):
+    """Small, searched and indexed-again buckets: pairs within fifteen bits of 128 are linked, and no pair over 32 is given."""
+    rng = np.random.default_rng(9)
+
+    def cloud(n, weak):
+        centre, flips = rng.integers(0, 2, 128, dtype=np.uint8), np.zeros((n, 128), np.uint8)
+        flips[:, weak] = rng.random((n, len(weak))) < 0.3
+        return np.packbits(centre ^ flips, axis=1, bitorder="little").view(np.uint64)
+
+    def held(values, pairs, names):
+        far = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=-1)
+        assert all(far[a, b] <= simhash.SET_DISTANCE for a, b in pairs)
+        groups = {n: g for g in roots_of(pairs, names) for n in g}
+        assert all(groups[a] is groups[b] for a, b in np.argwhere(far <= 15).tolist())
+
+    for n, weak in ((60, range(0, 128, 4)), (300, range(128)), (300, range(40, 100))):
+        values = np.concatenate([cloud(n, np.array(weak)) for _ in range(2)])
+        rows = [(i, *v) for i, v in enumerate(values.view(np.int64).tolist())]
+        pairs = simhash.close_sets(spark.createDataFrame(rows, "class bigint, fp bigint, fp2 bigint")).collect()
+        assert all(p.a < p.b for p in pairs)
+        held(values, pairs, range(len(values)))
+    values = cloud(simhash.REINDEXED + 200, np.arange(50, 110))  # segments 0 and 7 (bits 112 up) are shared
+    for at in (3, 115):
+        found = simhash._links(np.full(len(values), at << 32 | 7, np.int64), values, np.arange(len(values)), simhash.SET_SEGMENTS, simhash.SET_DISTANCE)
+        held(values, [(a, b) for x, y in found for a, b in zip(x.tolist(), y.tolist())], range(len(values)))
+
+
 def test_rows_are_decided_one_by_one(spark):
     """Repeated and null ids: near-dedup and decontamination look at a row's own text."""
     leak = "one two three four five six seven eight nine ten eleven"
