@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import zipfile
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from planloom.sources.work import discard, shared_dir, work_path
 from planloom.sources.work import written as materialize
 
-__all__ = ["SPACE", "ascii_lower", "discard", "map_batches", "materialize", "row_keys", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "with_places", "work_path"]
+__all__ = ["SPACE", "ascii_lower", "discard", "kept", "map_batches", "materialize", "row_keys", "settled", "shared_dir", "ship", "space_words", "split_words", "texts_in", "with_places", "work_path"]
 
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -75,11 +78,37 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(out))
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough that very long texts fit in a Python worker, which frees them when a task ends."""
+_kept: dict[tuple, object] = {}
+
+
+def kept(make: Callable, *args):
+    """``make(*args)`` once for each Python worker, which keeps one such object until it runs a task without ``keeps``."""
+    key = (make, *args)
+    if key not in _kept:
+        _forget()
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+def _forget() -> None:
+    """Workers outlive their stage, so what one operator keeps would add to the memory of all that follow."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with batches small enough that very long texts fit in a Python worker, which frees them when a task ends.
+
+    ``keeps``: ``function`` asks for something ``kept``; any other task lets go of it.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
+        if not keeps:
+            _forget()
         yield from function(batches)
         pa.default_memory_pool().release_unused()
 

@@ -9,7 +9,6 @@ or the metadata columns alone, without the rest.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import zlib
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planloom.llm.common import map_batches, texts_in, work_path
+from planloom.llm.common import kept, map_batches, texts_in, work_path
 
 END_ID = 2
 #: Words whose ids a Python worker keeps, in each of two generations: some 100 MB for every 250,000. Fewer only cost time.
@@ -138,18 +137,12 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(1)
-def _encoder(tokenizer_path: str, words: int) -> Encoder:
-    """One for each Python worker, kept from task to task (a function of the module, so not sent along)."""
-    return Encoder(tokenizer_path, words)
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """(``id_col``, n_tokens, tokens) for every row: the ids of the whole text, then ``end_id``."""
     end = np.asarray([end_id], "<i4").tobytes()
 
     def run(batches):
-        encode = _encoder(tokenizer_path, cache_words)
+        encode = kept(Encoder, tokenizer_path, cache_words)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
@@ -161,7 +154,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), tokens], names=[id_col, "n_tokens", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, n_tokens int, tokens array<int>")
+    return map_batches(docs.select(id_col, F.col(text_col).cast("binary")), run, f"`{id_col}` {kind}, n_tokens int, tokens array<int>", keeps=True)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", mode: str = "errorifexists", cache_words: int = CACHE_WORDS) -> None:

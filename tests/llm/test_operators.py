@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -282,6 +283,23 @@ def test_tokens(spark, odd):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_workers_let_go_of_the_encoder(spark):
+    """A worker that has encoded holds an encoder until another operator's task runs there."""
+
+    def held(batches):
+        import gc
+
+        for batch in batches:
+            yield batch.set_column(0, "n", pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())] * batch.num_rows, pa.int64()))
+
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(16)], "doc_id bigint, text string").repartition(4)
+    assert token_output.tokenize(docs, queries.tokenizer_path()).count() == 16
+    counts = [r.n for r in common.map_batches(spark.range(0, 64, 1, 16), held, "n bigint").collect()]
+    assert len(counts) == 64 and not any(counts)
+    again = token_output.tokenize(docs, queries.tokenizer_path()).collect()
+    assert sorted(r.doc_id for r in again) == [*range(16)] and all(r.tokens[-1] == token_output.END_ID for r in again)
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     import pyarrow.parquet as pq
 
