@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -306,3 +308,40 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
         library, encode = Tokenizer.from_file(file), token_output.Encoder(file)
         got = [list(np.frombuffer(x, "<i4")) for x in encode([t.encode() for t in texts])]
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forms_of_a_word_are_one_lookup():
+    """Capitals and marks around a word cost no work in Python for each form."""
+    from tokenizers import Tokenizer
+
+    path, calls = queries.tokenizer_path(), [0]
+    forms = ["".join(x) + mark for x in itertools.product(*[(c, c.upper()) for c in "niñacámara"]) for mark in ("", ",", ")!")]
+    encode, text = token_output.Encoder(path), " ".join(forms)
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        got = encode([text.encode()])
+    finally:
+        sys.setprofile(None)
+    assert list(np.frombuffer(got[0], "<i4")) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert calls[0] < len(forms) / 10
+
+
+def test_units_of_odd_texts(monkeypatch):
+    """Texts of all sorts of bytes, cut into spans at every white space, have the ids of whole-text encoding."""
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(4), queries.tokenizer_path()
+    parts = [*"abzAZ019 \n\t\x0b\x0c\r\x1c\x1f\x00\x7f'<>|_-.,!?$`~", "'s", "'LL", "<|endoftext|>", *"áÁÀÞþßÿŸ×÷ªºµ²½¡¿\xa0\x85\xad", *"ŉİıſKǅ\u03a3\u03c2\u0436\u0416\u4e2d\u0301\u200b\u2028\ufffd\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.choice((0, 1, 2, 5, 30)))) for _ in range(4000)]
+    raw = [t.encode() for t in texts] + [bytes(rng.choices((0x20, 0x41, 0x61, 0x80, 0x97, 0x9E, 0xB7, 0xC2, 0xC3, 0xC4, 0xFF), k=6)) for _ in range(1000)]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in raw]
+    for span in (1, token_output.Encoder.SPAN):
+        monkeypatch.setattr(token_output.Encoder, "SPAN", span)
+        for words in (50, 100_000):
+            encode = token_output.Encoder(path, words)
+            assert [np.frombuffer(x, "<i4").tolist() for x in encode(raw)] == want
+    column = pa.array([None, *raw, b"", None], pa.binary()).slice(1)
+    ids, sizes = encode.column(column)
+    assert sizes.tolist() == [*map(len, want), 0, 0] and ids.tolist() == [i for x in want for i in x]
+    assert [len(x) for x in token_output.Encoder(path).column(pa.array([], pa.binary()))] == [0, 0]
